@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import fingerprints, secrets, sharding
+from . import bpe, fingerprints, packing, secrets, sharding
 
-MODULES = (sharding, fingerprints, secrets)
+MODULES = (sharding, bpe, fingerprints, packing, secrets)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
