@@ -40,8 +40,8 @@ class Fragments:
     ``certain[a, b]`` says that bytes a, b stand next to each other inside no token, so no
     merge ever crosses that place. Cuts are made at such places, where moreover the splitting
     pattern of the tokenizer begins a new match whatever stands before: between anything and
-    white space, and between a Latin letter and those ASCII signs for which the vocabulary has
-    no pair with the end of any letter. Fragments are then encoded alone, each distinct one
+    white space, and between an ASCII letter and those ASCII signs for which the vocabulary has
+    no pair with any such letter. Fragments are then encoded alone, each distinct one
     once, and their ids put together. Where the tokenizer lower-cases, A-Z are lower-cased first.
     """
 
@@ -57,12 +57,11 @@ class Fragments:
         self.certain = self.pairs(self.tokens, {t["id"] for t in told["added_tokens"]})
         self.keep_spaces = keep_spaces
         self.lower = "Lowercase" in json.dumps(told["normalizer"])
-        # the last byte of a Latin letter
-        letters = np.array([c for c in range(128) if chr(c).isalpha()] + list(range(0x80, 0xC0)))
+        letters = np.array([c for c in range(128) if chr(c).isalpha()])
         signs = [c for c in range(33, 127) if not chr(c).isalnum() and self.certain[letters, c].all()]
         sign = "[" + re.escape("".join(map(chr, signs))) + "]"
         # signs up to the next white space go together: no cut is needed inside them
-        body = rf"{_LETTER}+(?={sign})|{sign}+(?!\S)|\S+" if signs else r"\S+"
+        body = rf"{_LETTER}*[A-Za-z](?={sign})|{sign}+(?!\S)|\S+" if signs else r"\S+"
         self.pattern = re.compile(rf"\s*(?:{body})|\s+" if keep_spaces else body)
         self.known: dict[str, bytes] = {}
         self.blob = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
