@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, fingerprints, langid, packing, secrets, sharding
+from . import bpe, fingerprints, langid, packing, secrets, sharding, topk
 
-MODULES = (sharding, bpe, fingerprints, packing, secrets, langid)
+MODULES = (sharding, bpe, topk, fingerprints, packing, secrets, langid)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
