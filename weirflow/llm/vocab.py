@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct fragments that a worker remembers; then it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 #: Longer fragments are encoded but not remembered.
 LONGEST = 48
 #: White space for Python's patterns, but not for the tokenizers'.
@@ -42,7 +42,8 @@ class Fragments:
     pattern of the tokenizer begins a new match whatever stands before: between anything and
     white space, and between an ASCII letter and those ASCII signs for which the vocabulary has
     no pair with any such letter. Fragments are then encoded alone, each distinct one
-    once, and their ids put together. Where the tokenizer lower-cases, A-Z are lower-cased first.
+    once, and their ids put together. A tokenizer that drops white space gets the words between
+    it, no further cuts; where it lower-cases, A-Z are lower-cased first.
     """
 
     def __init__(self, text: str, keep_spaces: bool):
@@ -62,7 +63,7 @@ class Fragments:
         sign = "[" + re.escape("".join(map(chr, signs))) + "]"
         # signs up to the next white space go together: no cut is needed inside them
         body = rf"{_LETTER}*[A-Za-z](?={sign})|{sign}+(?!\S)|\S+" if signs else r"\S+"
-        self.pattern = re.compile(rf"\s*(?:{body})|\s+" if keep_spaces else body)
+        self.pattern = re.compile(rf"\s*(?:{body})|\s+")
         self.known: dict[str, bytes] = {}
         self.blob = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
         self.sizes = np.array([len(t) for t in self.tokens], dtype=np.int64)
@@ -93,20 +94,14 @@ class Fragments:
         low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if self.lower else text
         if _SEPARATORS.search(low) or any(s in low for s in self.special):
             return [text] if text else []
-        return self.pattern.findall(low)
+        return self.pattern.findall(low) if self.keep_spaces else low.split()
 
-    def learn(self, fragments: set[str]) -> list[str]:
-        """Ids of all fragments, as bytes, into ``known``; those to be forgotten again are returned."""
-        new = fragments - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = fragments
-        some = list(new)
-        for at in range(0, len(some), 5000):
-            part = some[at : at + 5000]
+    def learn(self, new: list[str]) -> None:
+        """Ids of new fragments, as bytes, into ``known``."""
+        for at in range(0, len(new), 5000):
+            part = new[at : at + 5000]
             for f, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[f] = array("I", e.ids).tobytes()
-        return [f for f in new if len(f) > LONGEST]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text. Texts are taken in groups of about a million characters."""
@@ -121,12 +116,23 @@ class Fragments:
         yield from self._group(group)
 
     def _group(self, group: list[list[str]]) -> Iterator[np.ndarray]:
-        long = self.learn(set(chain.from_iterable(group)))
-        known = self.known
+        flat = list(chain.from_iterable(group))
+        found = list(map(self.known.get, flat))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        new = list({flat[i] for i in gaps})
+        self.learn(new)
+        for i in gaps:
+            found[i] = self.known[flat[i]]
+        at = 0
         for fragments in group:
-            yield np.frombuffer(b"".join(map(known.__getitem__, fragments)), dtype="<u4")
-        for f in long:
-            del known[f]
+            yield np.frombuffer(b"".join(found[at : at + len(fragments)]), dtype="<u4")
+            at += len(fragments)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        else:
+            for f in new:
+                if len(f) > LONGEST:
+                    del self.known[f]
 
     def decode(self, ids: np.ndarray) -> str:
         return gather(self.blob, self.sizes, ids).decode("utf-8", "replace")
