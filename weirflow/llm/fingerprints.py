@@ -17,7 +17,7 @@ read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,12 +110,13 @@ def normalised(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass").lower()
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _texts(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    rid = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rid.alias("rid"))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", moduli: tuple[int, ...] = MODULI, with_text: bool = False) -> DataFrame:
-    """Per row: id, fingerprint, length in bytes, SHA-256 of the normalised text, and that text if asked for."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", moduli: tuple[int, ...] = MODULI, with_text: bool = False, row_col: str | None = None) -> DataFrame:
+    """Per row: id, its number, fingerprint, length in bytes, SHA-256 of the normalised text, and that text if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp = Fingerprint(moduli)
@@ -123,11 +124,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 data = [normalised(x) for x in part.column(1).to_pylist()]
-                cols = [part.column(0), pa.array(fp.all(data), pa.binary()), pa.array([len(d) for d in data], pa.int64())]
+                cols = [part.column(0), part.column(2), pa.array(fp.all(data), pa.binary()), pa.array([len(d) for d in data], pa.int64())]
                 cols.append(pa.array(data, pa.binary()) if with_text else pa.array([hashlib.sha256(d).hexdigest() for d in data], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "n_bytes", "body" if with_text else "text_sha256"])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rid", "fp", "n_bytes", "body" if with_text else "text_sha256"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"doc_id long, fp binary, n_bytes long, {'body binary' if with_text else 'text_sha256 string'}")
+    return _texts(docs, id_col, text_col, row_col).mapInArrow(run, f"doc_id long, rid long, fp binary, n_bytes long, {'body binary' if with_text else 'text_sha256 string'}")
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -145,9 +146,12 @@ def differing(docs: DataFrame, groups: DataFrame, n_groups: int, id_col: str = "
     return same.where("lo <> hi").select("fp", "n_bytes").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", moduli: tuple[int, ...] = MODULI) -> DataFrame:
-    """Every row with the id that stays for its text, its group's size, and whether it is the row that stays."""
-    rows = stage(fingerprints(docs, id_col, text_col, moduli).withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", moduli: tuple[int, ...] = MODULI, row_col: str | None = None) -> DataFrame:
+    """Every row with the id that stays for its text, its group's size, and whether it is the row that stays.
+
+    ``row_col`` names a column that numbers the rows; it comes back as ``rid``.
+    """
+    rows = stage(fingerprints(docs, id_col, text_col, moduli, row_col=row_col), "fingerprints")
 
     def repeats(rows: DataFrame) -> DataFrame:
         groups = rows.groupBy("fp", "n_bytes").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("keep"))
@@ -168,12 +172,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("rid") == F.col("keep.rid"))).alias("kept"),
         "text_sha256",
+        "rid",
     )
 
 
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that stay, with all their columns."""
+    return without_rows(docs, lambda numbered, row: classes(numbered, id_col, text_col, row_col=row))
+
+
+def without_rows(docs: DataFrame, find: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``docs`` without the rows that ``find``, given them with a numbering column, returns as not kept."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    gone = stage(find(numbered, row).where("NOT kept").select(F.col("rid").alias(row)), "gone")
+    return numbered.join(bounded(gone, gone.count()), row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op6_polynomial_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents."""
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents")).drop("rid")
 
 
 QUERIES = {"op6_polynomial_fingerprints": op6_polynomial_fingerprints}

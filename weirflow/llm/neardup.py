@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .fingerprints import bounded
+from .fingerprints import bounded, without_rows
 from .staging import stage, table
 
 WORDS = 5
@@ -117,7 +117,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1.0 / (above / cx + below / cy)).sum())
 
 
-def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Per row: number, id, fingerprint of the shingles in two words, band hashes, and the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,8 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 cols += [pa.array([x if y else [] for x, y in zip(bands, some, strict=True)], pa.list_(pa.int64())), part.column(2)]
                 yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "fp1", "fp2", "bands", "text"])
 
-    picked = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rid = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    picked = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "rid long, doc_id long, fp1 long, fp2 long, bands array<long>, text string")
 
 
@@ -179,9 +180,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long, sim double")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """Every row with its class (the least id in it), the size of the class, and whether it is the row that is kept."""
-    rows = stage(sketched(docs, id_col, text_col), "sketches")
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, row_col: str | None = None) -> DataFrame:
+    """Every row with its class (the least id in it), the size of the class, and whether it is the row that is kept.
+
+    ``row_col`` names a column that numbers the rows; it comes back as ``rid``.
+    """
+    rows = stage(sketched(docs, id_col, text_col, row_col), "sketches")
     same = stage(rows.groupBy("fp1", "fp2").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1 AND fp1 IS NOT NULL").select("fp1", "fp2", "node"), "same")
     nodes = rows.join(bounded(same, same.count()), ["fp1", "fp2"], "left").withColumn("node", F.coalesce("node", "rid"))
     banded = nodes.where("node = rid").select("node", F.explode("bands").alias("band"))
@@ -209,12 +213,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     named = stage(named.where("class_size > 1").select("class", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first.rid").alias("kept_rid")), "classes")
     out = labelled.join(bounded(named, named.count()), "class", "left")
     alone = F.col("class_size").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | (F.col("rid") == F.col("kept_rid"))).alias("kept"))
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | (F.col("rid") == F.col("kept_rid"))).alias("kept"), "rid")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, with all its columns."""
+    return without_rows(docs, lambda numbered, row: classes(numbered, id_col, text_col, row_col=row))
 
 
 def op5_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-duplicate documents."""
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents")).drop("rid")
 
 
 QUERIES = {"op5_prob_minhash": op5_prob_minhash}

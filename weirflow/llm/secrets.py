@@ -21,7 +21,6 @@ scanned whole. Only the id and text columns are read.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -188,9 +187,5 @@ def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
-def _digest(spans: list[Span]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
-
-
 QUERIES = {"op9_entropy_secrets": op9_entropy_secrets}
 SQL: dict[str, str] = {}
