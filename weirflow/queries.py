@@ -620,3 +620,36 @@ def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / 1000)
     pieces = documents(spark, sf_dir).select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), count)).alias("piece"))
     return pieces.select("doc_id", "piece", F.sha2(F.substring("text", (F.col("piece") * 1000 + 1).cast("int"), F.lit(1000)).cast("binary"), 256).alias("digest"))
+
+
+# Streams
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = events(spark, sf_dir).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
+
+
+def _streamed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """What a stream gives over all there is now, as a table in the shared folder."""
+    import uuid
+
+    at = f"{reach._folder(spark)}/{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query(f'WITH {_LOG} SELECT log, seq, "at", payload FROM log WHERE seq > 3')
+def stream_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _streamed(spark, _stream(spark, sf_dir).select(F.col("event_type").alias("log"), F.col("ts").alias("at"), F.col("props").alias("payload"), "event_id"), "follow")
+    return feed.read_from(feed.assign_seq(got, "log", ["at", "event_id"], day("at")), 4).select("log", "seq", "at", "payload")
+
+
+@query(SQL["group_commit_batches"])
+def stream_group_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming import follow
+
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = _stream(spark, sf_dir).select(F.col("event_type").alias("log"), at.alias("at_us"), "event_id", (1 + F.col("event_id") % 2).alias("n"))
+    return _streamed(spark, follow.group_commit(rows, "log", 3 * 3600 * 1_000_000, 8), "group")
