@@ -24,7 +24,7 @@ class _Reader(DataSourceStreamReader):
     """The offset is the next number to read, so lease renewals wake nobody."""
 
     def __init__(self, options: dict):
-        self.root, self.log, self.start = options["path"], options["log"], int(options.get("startingSeq", "1"))
+        self.root, self.log, self.start = options["path"], options["log"], int(options.get("startingseq", "1"))
 
     def _feeds(self) -> Feeds:
         return Feeds(None, self.root, LocalStore(self.root.removeprefix("file://")))
@@ -64,7 +64,7 @@ class FeedSource(DataSource):
         return "seq long, at timestamp, payload binary"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return _Reader(dict(self.options))
+        return _Reader({k.lower(): v for k, v in self.options.items()})
 
 
 def follow(spark: SparkSession, root: str, log: str, start: int = 1) -> DataFrame:
