@@ -112,10 +112,10 @@ class Models:
         alphabet = {c for s in counts.values() for g in s.index for c in g}
         self.floor = -float(np.log(len(alphabet) + 1))
         by_order: dict[int, list[pd.Series]] = {order: [counts[x] for x in langs]}
-        for k in range(order - 1, 0, -1):
+        for k in range(order - 1, 0, -1) if langs else ():
             by_order[k] = [pd.Series(s.index.str[1:]).value_counts() for s in by_order[k + 1]]
         self.levels: list[Level] = []
-        for k in range(1, order + 1):
+        for k in range(1, order + 1) if langs else ():
             self.levels.append(self._level(k, by_order[k]))
 
     def _level(self, k: int, series: list[pd.Series]) -> Level:
