@@ -136,8 +136,14 @@ def test_near_classes(spark, docs):
     assert found == {i: min(by[c]) for i, c in want.items()}
 
 
-def test_near_chain_and_large_group(spark):
-    """Neighbours of a chain are links and its ends are not; a group of many copies with one word changed."""
+@pytest.mark.parametrize(("leaders", "block"), [(2, 1024), (0, 40)])
+def test_near_chain_and_large_group(spark, monkeypatch, leaders, block):
+    """Neighbours of a chain are links and its ends are not; a group of many copies with one word changed.
+
+    With leaders, and by blocks alone.
+    """
+    monkeypatch.setattr(neardup, "LEADERS", leaders)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     words = [f"w{i}" for i in range(400)]
     chain = [" ".join(words[:0] + ["x%d" % j for j in range(k * 6)] + words[k * 6 :]) for k in range(6)]
     base = [f"v{i}" for i in range(300)]

@@ -9,10 +9,12 @@ Jaccard similarity where all weights are equal). Registers are banded, documents
 a band are candidates, and candidates are verified exactly: J_P of 0.8 or more is a link.
 
 No group is ever expanded into all pairs. Documents of equal shingles are one node. Each
-bucket's members are verified against its leader first; connected components follow. Only
-members of one bucket that are still in different components are compared with each other,
-and not where their similarities to the leader differ by more than 0.2: 1 - J_P is a metric,
-so these can't be linked. No link between candidates is lost.
+bucket's members are compared with its leader, and connected components follow; then again
+with another leader, where members are still in different components. Only what is in
+different components after that is compared with each other, by blocks of a bucket (see
+``block_links``). All comparisons begin with a byte of each of 126 registers: pairs that agree in fewer than ``AGREEING`` of them, which
+happens to one linked pair in 100,000, are not verified. No other link between candidates is
+lost.
 
 Defined results for odd input: words are lower-cased and split at white space; a text of one
 to four words has one shingle, all of it; a null text, or one without a word, is a class of
@@ -23,13 +25,12 @@ text columns are read.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -41,6 +42,12 @@ SIMILARITY = 0.8
 REGISTERS = 128
 #: At similarity 0.8 a pair is missed with probability (1 - 0.8**5)**25, below 1 in 10,000.
 BANDS, ROWS = 25, 5
+#: Registers compared before verification, packed seven to a word, and how many must agree.
+WORD, PACKED, AGREEING = 7, 126, 82
+#: Times that buckets get new leaders before what is left is compared with each other.
+LEADERS = 2
+#: Members of a bucket that stand in one block; blocks meet in pairs.
+BLOCK = 1024
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -84,7 +91,7 @@ def sketches(doc: np.ndarray, items: np.ndarray, weights: np.ndarray, n_docs: in
     doc, left, turn = doc.astype(np.int64), items, 0
     while len(left):
         turn += 1
-        drawn = mixed(left + _A * np.uint64(turn))
+        drawn = mixed(left + np.uint64(int(_A) * turn % (1 << 64)))
         time = time - np.log1p(-(drawn >> np.uint64(11)).astype(np.float64) * 2.0**-53) / rate
         place = doc * registers + (mixed(drawn ^ _C) % np.uint64(registers)).astype(np.int64)
         sooner = time < value[place]
@@ -100,9 +107,15 @@ def sketches(doc: np.ndarray, items: np.ndarray, weights: np.ndarray, n_docs: in
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """J_P of two weighted sets, each as sorted items and weights."""
-    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(common):
+    # the items of b that stand in a, both being sorted
+    at = np.searchsorted(a[0], b[0])
+    at[at == len(a[0])] = 0
+    j = np.flatnonzero(a[0][at] == b[0]) if len(a[0]) else np.empty(0, dtype=np.int64)
+    i = at[j]
+    if not len(j):
         return 0.0
+    if (a[1] == 1).all() and (b[1] == 1).all():
+        return len(j) / (len(a[0]) + len(b[0]) - len(j))
     x, y = a[1].astype(np.float64), b[1].astype(np.float64)
     cx, cy = x[i], y[j]
     alone_x, alone_y = x.sum() - cx.sum(), y.sum() - cy.sum()
@@ -136,6 +149,8 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
                 for k in range(ROWS):
                     bands = mixed(bands + owner[:, k * BANDS : (k + 1) * BANDS] + _A)
                 bands = mixed(bands + np.arange(BANDS, dtype=np.uint64) * _B).astype(np.int64)
+                low = (mixed(owner[:, :PACKED]) & np.uint64(255)).reshape(n, -1, WORD)
+                words = (low << (np.arange(WORD, dtype=np.uint64) * np.uint64(8))).sum(axis=2, dtype=np.uint64).astype(np.int64)
                 some = np.bincount(doc, minlength=n) > 0
                 pair = mixed(items + mixed(weights.astype(np.uint64))), mixed(items ^ mixed(weights.astype(np.uint64) + _C))
                 sums = [np.zeros(n, dtype=np.uint64) for _ in pair]
@@ -143,41 +158,107 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
                     np.add.at(s, doc, mixed(p))
                 cols = [part.column(0), part.column(1)]
                 cols += [pa.array(s.astype(np.int64), pa.int64(), mask=~some) for s in sums]
-                cols += [pa.array([x if y else [] for x, y in zip(bands, some, strict=True)], pa.list_(pa.int64())), part.column(2)]
-                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "fp1", "fp2", "bands", "text"])
+                cols += [pa.array([x if y else [] for x, y in zip(bands, some, strict=True)], pa.list_(pa.int64())), pa.array(list(words), pa.list_(pa.int64())), part.column(2)]
+                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "fp1", "fp2", "bands", "words", "text"])
 
     rid = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     picked = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "rid long, doc_id long, fp1 long, fp2 long, bands array<long>, text string")
+    return picked.mapInArrow(run, "rid long, doc_id long, fp1 long, fp2 long, bands array<long>, words array<long>, text string")
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Whether enough registers agree. Seven bytes a word, so that sums don't overflow."""
+    ones, high = F.lit(0x007F7F7F7F7F7F7F), F.lit(0x0080808080808080)
+
+    def differing(i: int) -> Column:
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        return F.bit_count((x.bitwiseAND(ones) + ones).bitwiseOR(x).bitwiseAND(high))
+
+    return sum((differing(i) for i in range(1, PACKED // WORD)), differing(0)) <= PACKED - AGREEING
+
+
+def sets(texts: DataFrame) -> DataFrame:
+    """Per row of (rid, text): the shingles as sorted hashes, and how often each occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                doc, items, weights = shingles(part.column(1).to_pylist())
+                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=part.num_rows)))).astype(np.int32))
+                cols = [part.column(0), pa.ListArray.from_arrays(ends, pa.array(items.astype(np.int64))), pa.ListArray.from_arrays(ends, pa.array(weights.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(cols, ["rid", "items", "weights"])
+
+    return texts.select("rid", "text").mapInArrow(run, "rid long, items array<long>, weights array<int>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Exact similarity of each pair (u, v) of nodes."""
+    """Exact similarity of each pair (u, v) of nodes. A node's shingles are hashed once, however many pairs it is in."""
     needed = stage(pairs.select(F.col("u").alias("rid")).union(pairs.select(F.col("v").alias("rid"))).distinct(), "needed")
-    own = stage(texts.select("rid", "text").join(bounded(needed, needed.count()), "rid", "left_semi"), "own")
-    both = pairs.join(own.select(F.col("rid").alias("u"), F.col("text").alias("text_u")), "u").join(own.select(F.col("rid").alias("v"), F.col("text").alias("text_v")), "v")
+    own = stage(sets(texts.select("rid", "text").join(bounded(needed, needed.count()), "rid", "left_semi")), "own")
+    both = pairs.join(own.toDF("u", "items_u", "weights_u"), "u").join(own.toDF("v", "items_v", "weights_v"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
-
-        def item(node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-            if node not in known:
-                _, items, weights = shingles([text])
-                known[node] = (items, weights)
-                if len(known) > 500:
-                    known.popitem(last=False)
-            else:
-                known.move_to_end(node)
-            return known[node]
-
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                u, v, tu, tv = (c.to_pylist() for c in part.columns)
-                sim = [similarity(item(a, x), item(c, y)) for a, c, x, y in zip(u, v, tu, tv, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sim, pa.float64())], ["u", "v", "sim"])
+            flat = [(c.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))))) for c in b.columns[2:]]
+
+            def part(c: int, i: int) -> np.ndarray:
+                return flat[c][0][flat[c][1][i] : flat[c][1][i + 1]]
+
+            sim = [similarity((part(0, i).view(np.uint64), part(1, i)), (part(2, i).view(np.uint64), part(3, i))) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64())], ["u", "v", "sim"])
 
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long, sim double")
+    return both.select("u", "v", "items_u", "weights_u", "items_v", "weights_v").mapInArrow(run, "u long, v long, sim double")
+
+
+def block_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) between members of one bucket in different components.
+
+    A bucket is cut into blocks, and a task takes a pair of blocks, so it holds 2 * BLOCK
+    members at most. It compares registers as matrices and verifies what agrees, most alike
+    first; members that its own links have joined meanwhile aren't compared again. A pair is
+    looked at in the first band that both share.
+    """
+    blocks = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / (BLOCK * 0.9)).cast("int").alias("n_blocks"))
+    own = stage(sets(texts.select("rid", "text").join(members.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi")), "own")
+    placed = members.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("n_blocks")).cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    rows = paired.join(own.withColumnRenamed("rid", "node"), "node").select("band", "i", "j", "node", "comp", "block", "bands", "words", "items", "weights")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        n = len(g)
+        registers = np.stack(g["words"].to_numpy()).astype(np.int64).view(np.uint8).reshape(n, -1, 8)[:, :, :WORD].reshape(n, -1)
+        bands, comp, block = np.stack(g["bands"].to_numpy()), g["comp"].to_numpy(), g["block"].to_numpy()
+        node, band = g["node"].to_numpy(), g["band"].iloc[0]
+        crossing = g["i"].iloc[0] != g["j"].iloc[0]
+        found: list[tuple[int, int, int]] = []
+        for x in range(n - 1):
+            y = np.arange(x + 1, n)
+            y = y[(comp[y] != comp[x]) & ((block[y] != block[x]) | (not crossing))]
+            agreed = (registers[y] == registers[x]).sum(axis=1)
+            y, agreed = y[agreed >= AGREEING], agreed[agreed >= AGREEING]
+            if len(y):
+                same = bands[y] == bands[x]
+                y, agreed = (z[bands[x][same.argmax(axis=1)] == band] for z in (y, agreed))
+                found += [(-a, x, k) for a, k in zip(agreed.tolist(), y.tolist(), strict=True)]
+        up = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        items = [(a.astype(np.int64).view(np.uint64), w) for a, w in zip(g["items"], g["weights"], strict=True)]
+        out = []
+        for _, x, y in sorted(found):
+            a, b = root(comp[x]), root(comp[y])
+            if a != b and similarity(items[x], items[y]) >= least:
+                up[max(a, b)] = min(a, b)
+                out.append((node[x], node[y]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    return rows.groupBy("band", "i", "j").applyInPandas(run, "u long, v long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, row_col: str | None = None) -> DataFrame:
@@ -188,24 +269,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     rows = stage(sketched(docs, id_col, text_col, row_col), "sketches")
     same = stage(rows.groupBy("fp1", "fp2").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1 AND fp1 IS NOT NULL").select("fp1", "fp2", "node"), "same")
     nodes = rows.join(bounded(same, same.count()), ["fp1", "fp2"], "left").withColumn("node", F.coalesce("node", "rid"))
-    banded = nodes.where("node = rid").select("node", F.explode("bands").alias("band"))
-    shared = stage(banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "leader"), "buckets")
-    members = stage(banded.join(bounded(shared, shared.count()), "band"), "members")
-
-    stars = members.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
-    stars = stage(verified(stage(stars, "pairs"), rows), "stars")
-    found = components(stars.where(F.col("sim") >= least).select("u", "v"))
-
-    # members of a bucket in different components, unless their distances to its leader rule a link out
-    root = found.withColumnRenamed("root", "comp")
-    placed = members.join(stars.select(F.col("u").alias("leader"), F.col("v").alias("node"), "sim"), ["leader", "node"]).join(root, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    placed = stage(placed.join(split, "band", "left_semi").select("band", "node", "sim", "comp"), "placed")
-    x, y = placed.alias("x"), placed.alias("y")
-    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & (F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - least + 1e-9)
-    more = stage(x.join(y, (F.col("x.band") == F.col("y.band")) & apart).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct(), "pairs")
-    more = verified(more, rows).where(F.col("sim") >= least).select("u", "v")
-    found = components(stage(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "links"))
+    banded = nodes.where("node = rid").select("node", F.explode("bands").alias("band"), "bands", "words")
+    shared = stage(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "buckets")
+    members = stage(banded.join(bounded(shared, shared.count()), "band").withColumn("comp", F.col("node")), "members")
+
+    found = members.select("node", F.col("comp").alias("root")).limit(0)
+    for turn in range(LEADERS + 1):
+        if turn < LEADERS:
+            lead = members.groupBy("band").agg(F.min_by(F.struct("node", "comp", "words"), F.xxhash64("node", F.lit(turn))).alias("y"))
+            met = members.alias("x").join(lead, "band").where((F.col("x.comp") != F.col("y.comp")) & alike(F.col("x.words"), F.col("y.words")))
+            pairs = met.select(F.col("y.node").alias("u"), F.col("x.node").alias("v"))
+            new = verified(stage(pairs.distinct(), "pairs"), rows).where(F.col("sim") >= least).select("u", "v")
+        else:
+            new = block_links(members, rows, least)
+        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new))
+        if turn == LEADERS:
+            break
+        placed = members.select("band", "node", "bands", "words").join(bounded(found, found.count()), "node", "left").select("band", "node", "bands", "words", F.coalesce("root", "node").alias("comp"))
+        split = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
+        members = stage(placed.join(split, "band", "left_semi"), "members")
+        if members.isEmpty():
+            break
 
     labelled = nodes.select("rid", "doc_id", "node").join(bounded(found, found.count()), "node", "left").withColumn("class", F.coalesce("root", "node"))
     labelled = stage(labelled.select("rid", "doc_id", "class"), "labels")
