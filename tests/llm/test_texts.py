@@ -155,6 +155,27 @@ def test_secret_findings_and_allow_list():
     assert secrets.redact("abcdef", [(0, 3, "a"), (2, 5, "b")]) == "[secret]f"
 
 
+def test_allow_list_covers_whole_findings_only():
+    rng = random.Random(12)
+    key = "zQ3vT9xLm2Rk8WpY7nBd4Hs6"
+    uuid, digits = "123e4567-e89b-12d3-a456-426614174000", "0123456789"
+    covered = lambda text: {i for a, b, _ in secrets.scan(text) for i in range(a, b)}
+    assert secrets.scan("x zQ3vT9xLm2Rk8WpYaaa7nBd4Hs6 y")
+    for beside in (uuid, digits, "abcdefghijklmnopqrstuvwxyz"):
+        for text in (f"/v1/{beside}/{key}", f"/v1/{key}/{beside}"):
+            at = text.index(key)
+            assert set(range(at, at + len(key))) <= covered(text)
+            assert not covered(text) & set(range(text.index(beside), text.index(beside) + len(beside)))
+    for letters, least in (("0123456789ABCDEF", 0.95), ("abcdefghijklmnopqrstuvwxyz0123456789", 0.95), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 0.95), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.95)):
+        assert sum(bool(secrets.scan("".join(rng.choices(letters, k=40)))) for _ in range(500)) >= least * 500
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    assert all(secrets.scan("".join(rng.choices(base64, k=n))) for n in (64, 88, 400, 1600) for _ in range(100))
+    for harmless in (f"/v1/{uuid}/Users", f"/v1/{digits}/items", "UnwrapCastInBinaryComparisonSuite", base64):
+        assert secrets.scan(f"x {harmless} y") == []
+    text = f"{key}/token=abcd1234"
+    assert secrets.redact(text, secrets.scan(text)) == "[secret][secret]"
+
+
 def test_secrets_odd_input(spark, docs):
     rows = odd(spark)
     assert sorted(len(r.spans) for r in secrets.findings(rows).collect()) == [0] * 7

@@ -6,13 +6,16 @@ Base findings, leftmost and non-overlapping for each kind:
 * access: ``AKIA`` and capitals or digits, sixteen or more characters in all,
 * hex: thirty-two or more lower-case hexadecimal digits.
 
-Entropy findings are added to these. A candidate is a maximal run of ``A-Za-z0-9+/_=-``; its
-character class (hexadecimal, or mixed) sets window, threshold and needed variety. A window
-slides over the run; the counts of its characters change by one in and one out, and so does
-``sum(c * log2(c))``, from which its entropy follows. Windows at or above the threshold are
-joined. A finding is suppressed if the allow-list knows its form (UUIDs, one repeated block,
-runs in alphabet order, plain words joined by separators) or if a base finding overlaps it.
-The allow-list never removes a base finding.
+Entropy findings are added to these. Candidates are the maximal runs of ``A-Za-z0-9+/_=-`` and
+the maximal runs of letters and digits in them; the character class (hexadecimal, two of lower
+case, upper case and digits, or mixed) sets window, threshold and needed variety. UUIDs and
+alphabet-ordered pieces that stand alone in a run split it: windows lie between them, never on
+them. A window slides over a candidate; the counts of its characters change by one in and one
+out, and so does ``sum(c * log2(c))``, from which its entropy follows. Windows at or above the
+threshold are joined. A joined span is suppressed if the allow-list's forms (UUIDs, one
+repeated block, alphabet order, plain words joined by separators or capitals) cover the whole
+of it; characters of base findings are taken out of it and the rest stays. The allow-list never
+removes a base finding.
 
 Defined results for odd input: a null or empty text has no findings; null ids are carried
 along; equal rows each get their own result; an empty table gives an empty result. Texts are
@@ -53,8 +56,9 @@ class CharClass:
 
 
 HEX_CLASS = CharClass("hexadecimal", 24, 3.2, 2)
+TWO_CLASS = CharClass("two kinds", 24, 3.8, 2)
 MIXED_CLASS = CharClass("mixed", 20, 3.9, 3)
-SHORTEST = min(HEX_CLASS.window, MIXED_CLASS.window)
+SHORTEST = min(HEX_CLASS.window, TWO_CLASS.window, MIXED_CLASS.window)
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 _HEXADECIMAL = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _IN_RUN = bytes(1 if chr(i).isascii() and (chr(i).isalnum() or chr(i) in "+/_=-") else 0 for i in range(256))
@@ -91,27 +95,84 @@ def hot_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     return out
 
 
-_UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
-_JOINED = re.compile(r"[A-Za-z]?[a-z]+(?:[+/_=-]+[A-Za-z]?[a-z]+)*[+/_=-]*\Z")
-_ORDERED = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
-_BLOCK = re.compile(r"(.{1,12}?)\1{2,}")
+_UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
+_JOINED = re.compile(r"[+/_=-]*[A-Za-z][a-z]*(?:[+/_=-]+[A-Za-z][a-z]*)*[+/_=-]*")
+_CAPITALS = re.compile(r"[a-z]*(?:[A-Z]{1,5}[a-z]+)+[A-Z]*")
+_PIECE = re.compile(r"[A-Za-z0-9]+")
+_ORDERED = frozenset(a + b for o in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789") for a, b in zip(o, o[1:], strict=False))
+#: Characters that a stretch in alphabet order needs (the last one may be cut off), and a piece of such stretches.
+STRETCH, ORDERED = 4, 10
+#: Longest repeated block, and characters that joined words need for each capital.
+BLOCK, WORD = 12, 4
+
+
+def ordered(text: str) -> bool:
+    """Whether stretches in alphabet order are all there is."""
+    breaks = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in _ORDERED)]
+    return len(text) >= ORDERED and all(b - a >= STRETCH for a, b in zip(breaks, breaks[1:], strict=False))
+
+
+def repeated(text: str) -> bool:
+    """Whether a block that occurs three times or more is all there is."""
+    return any(text[n:] == text[:-n] for n in range(1, min(BLOCK, len(text) // 3) + 1))
+
+
+def worded(text: str) -> bool:
+    """Whether words joined by capitals are all there is."""
+    return _CAPITALS.fullmatch(text) is not None and len(re.findall("[A-Z]", text)) * WORD <= len(text)
 
 
 def allowed(text: str) -> bool:
-    """Forms that look random to a window but are known to be no secrets."""
-    if _UUID.search(text) or _JOINED.match(text) or _BLOCK.search(text):
-        return True
-    return any(o in text for o in _ORDERED)
+    """Forms that look random to a window but are known to be no secrets; each must be the whole text."""
+    return bool(_UUID.fullmatch(text) or _JOINED.fullmatch(text)) or repeated(text) or ordered(text) or worded(text)
+
+
+def unknown(run: str) -> list[tuple[int, int]]:
+    """What is left of a run between its UUIDs and its pieces in alphabet order."""
+    known = [m.span() for m in _UUID.finditer(run)]
+    known += [m.span() for m in _PIECE.finditer(run) if ordered(m.group())]
+    return minus((0, len(run)), known)
+
+
+def minus(span: tuple[int, int], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a span that none of ``taken`` covers."""
+    out, (at, end) = [], span
+    for a, b in sorted(taken):
+        if at < min(a, end):
+            out.append((at, min(a, end)))
+        at = max(at, b)
+    return [*out, (at, end)] if at < end else out
+
+
+def class_of(text: str) -> CharClass:
+    if _HEXADECIMAL.match(text):
+        return HEX_CLASS
+    return TWO_CLASS if variety(text) == 2 and _PIECE.fullmatch(text) else MIXED_CLASS
+
+
+def _hot(text: str, allow: Callable[[str], bool]) -> list[tuple[int, int]]:
+    kind = class_of(text)
+    if len(text) < kind.window or variety(text) < kind.variety:
+        return []
+    return [(a, b) for a, b in hot_windows(text, kind.window, kind.bits) if not allow(text[a:b])]
 
 
 def entropy_spans(text: str, allow: Callable[[str], bool] = allowed) -> list[Span]:
-    out = []
+    out: list[Span] = []
     for m in RUN.finditer(text):
-        run = m.group()
-        kind = HEX_CLASS if _HEXADECIMAL.match(run) else MIXED_CLASS
-        if len(run) < kind.window or variety(run) < kind.variety or allow(run):
-            continue
-        out += [(m.start() + a, m.start() + b, "entropy") for a, b in hot_windows(run, kind.window, kind.bits)]
+        for start, end in unknown(m.group()):
+            part, at = m.group()[start:end], m.start() + start
+            found = [(at + a, at + b) for a, b in _hot(part, allow)]
+            for p in _PIECE.finditer(part):
+                if p.end() - p.start() < len(part):
+                    found += [(at + p.start() + a, at + p.start() + b) for a, b in _hot(p.group(), allow)]
+            joined: list[tuple[int, int]] = []
+            for a, b in sorted(found):
+                if joined and a <= joined[-1][1]:
+                    joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+                else:
+                    joined.append((a, b))
+            out += [(a, b, "entropy") for a, b in joined]
     return out
 
 
@@ -131,7 +192,8 @@ def scan(text: str, allow: Callable[[str], bool] = allowed) -> list[Span]:
     """All findings of a text as (start, end, kind), by start and then kind as listed."""
     found = base_spans(text)
     if b"\1" * SHORTEST in text.encode("utf-8", "surrogatepass").translate(_IN_RUN):
-        found += [s for s in entropy_spans(text, allow) if not any(a < s[1] and s[0] < b for a, b, _ in found)]
+        base = [(a, b) for a, b, _ in found]
+        found += [(a, b, "entropy") for s in entropy_spans(text, allow) for a, b in minus((s[0], s[1]), base)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
