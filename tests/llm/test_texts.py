@@ -108,6 +108,17 @@ def test_packing(spark, docs):
     assert sizes.count(2048) > 0.8 * len(sizes)
 
 
+def test_pipeline_packs_token_ids(spark, docs):
+    import corpus_pipeline
+
+    theirs = library(WORDS)
+    few = docs.limit(60)
+    rows = dict(corpus_pipeline.STAGES)["packing"](spark, few, "").collect()
+    for d in few.collect():
+        pieces = sorted((r for r in rows if r.doc_id == d.doc_id), key=lambda r: r.start)
+        assert [i for r in pieces for i in r.ids] == [*theirs.encode(d.text, add_special_tokens=False).ids, 1]
+
+
 def test_packing_odd_input(spark):
     rows = odd(spark).where("doc_id IS NULL OR doc_id <> 3")
     check_packing(packing.pack(rows, WORDS, checksum_only=True).collect(), [(r.doc_id, r.text) for r in rows.collect()])
