@@ -18,3 +18,10 @@ def test_against_sql(spark, sf_dir, con, name):
     assert cols == want_cols
     assert len(got) == len(want)
     assert same(got, want)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_sweep_counts_its_roots(spark, size):
+    at = f"/root/testdata/{size}"
+    want = spark.read.parquet(f"{at}/customer.parquet").where("c_custkey % 40 = 1").count()
+    assert queries.QUERIES["sweep_report"](spark, at).first().refs_scanned == want

@@ -541,9 +541,12 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.union(e(lines, "o", "l_orderkey", "s", "l_suppkey")).union(e(t("supplier"), "s", "s_suppkey", "n", "s_nationkey"))
 
 
+def _roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 40 = 1").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+
+
 def _reached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 40 = 1").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
-    return reach.reachable(roots, graph(spark, sf_dir))
+    return reach.reachable(_roots(spark, sf_dir), graph(spark, sf_dir))
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -566,7 +569,7 @@ def sweep_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_GRAPH}, m AS (SELECT 'o' || o_orderkey NOT IN (SELECT node FROM reached) AS free, o_orderdate <= TIMESTAMP '{_SWEEP_NOW}' - INTERVAL 30 DAY AS old FROM orders)
     SELECT CAST(38 AS BIGINT) AS refs_scanned, count(*) AS objects_scanned, (SELECT count(*) FROM reached) AS reachable, count(*) FILTER (WHERE free AND NOT old) AS in_grace, count(*) FILTER (WHERE free AND old) AS candidates, CAST(0 AS BIGINT) AS deleted FROM m""")
 def sweep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reach.report(_orders(spark, sf_dir), _reached(spark, sf_dir), 38, F.lit(_SWEEP_NOW).cast("timestamp_ntz"), 30)
+    return reach.report(_orders(spark, sf_dir), _reached(spark, sf_dir), _roots(spark, sf_dir).count(), F.lit(_SWEEP_NOW).cast("timestamp_ntz"), 30)
 
 
 # Protocol
