@@ -261,6 +261,28 @@ def test_surrogates_keep_type_and_format(spark):
     assert pii.pseudonymise(rows.limit(0), "k").collect() == []
 
 
+def test_surrogates_of_all_written_forms(spark):
+    texts = [
+        "+49 30 1234 567 | +49301234567 | +49 (30) 1234 567 | +358 40 1234 567 | +358401234567",
+        "Mr Anton Weber | Herr Anton Weber | Herr Weber | Mr. Weber | Mrs Weber | Frau Lisa Weber | Mr Paul Weber | Mr Weber",
+        "Mr Weber | Mr Anton Weber",
+        "Mr Weber",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text.split(" | ") for r in pii.pseudonymise(rows, "k").collect()}
+    digits = [re.sub(r"\D", "", x) for x in got[0]]
+    assert digits[0] == digits[1] == digits[2] and digits[0].startswith("49") and digits[0] != "49301234567"
+    assert digits[3] == digits[4] and digits[3].startswith("358") and digits[3] != "358401234567"
+    whole = [x.split(" ", 1)[1] for x in got[1]]
+    first, last = whole[0].split()
+    assert whole[1] == f"{first} {last}" and whole[2] == whole[3] == last
+    assert whole[4] == whole[5].split()[1] != last
+    assert whole[7] == whole[6].split()[1] and whole[6] != whole[0]
+    assert [x.split(" ", 1)[1] for x in got[2]] == [last, f"{first} {last}"]
+    assert got[3][0] != f"Mr {last}"
+    assert [x.split(" ")[0] for x in got[1]] == ["Mr", "Herr", "Herr", "Mr.", "Mrs", "Frau", "Mr", "Mr"]
+
+
 def test_clashing_surrogates_are_told_apart(spark, monkeypatch):
     """With a stream so poor that addresses clash, each still gets its own surrogate, by either way of applying them."""
     poor = lambda key, kind, canon, attempt: F.rpad(F.concat(F.substring(F.sha2(F.concat(canon, attempt.cast("string")), 256), 1, 2), F.lit("0" * 6)), 128, "0")

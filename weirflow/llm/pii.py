@@ -9,6 +9,11 @@ separators stay, a country code and a card's first digit stay, a card passes the
 again, an address has four octets; a name keeps title, number of words, script (Latin or
 Cyrillic) and an ending of its gender.
 
+The title is no part of a name's canonical form, its gender is. A surname alone belongs to the
+last full name of that gender and surname before it in the text, else to the first after it, and
+gets the surname of that name's surrogate. Names without a title are not found. A number with
+``+`` and one without are different entities, as only the former has a country code.
+
 Distinctness is checked on the table of distinct entities, which is small beside the texts: a
 surrogate that two entities share, or that is itself an entity found in the corpus, is derived
 anew from a further attempt until none is left. The few entities with later attempts reach the
@@ -48,6 +53,8 @@ PATTERNS = {
 _NUMBERS = "|".join(PATTERNS[k] for k in ("ipv4", "ssn", "phone", "card"))
 #: All of them; a look at the next character saves most of the work.
 PATTERN = f"(?=[0-9+(])(?:{_NUMBERS})|(?=[{''.join(sorted({t[0] for t in (*MALE, *FEMALE)}))}]){PATTERNS['name']}|(?=[A-Za-z0-9._%+-]){PATTERNS['email']}"
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _SYLLABLES = ("ba", "de", "fi", "ga", "ho", "ju", "ka", "le", "mi", "no", "pa", "re", "sa", "te", "vi", "zo")
 _CYRILLIC = ("ба", "де", "фи", "га", "хо", "ю", "ка", "ле", "ми", "но", "па", "ре", "са", "те", "ви", "зо")
 
@@ -72,14 +79,36 @@ def kind_of(match: Column) -> Column:
 
 def canonical(kind: Column, match: Column) -> Column:
     """What makes two matches the same entity."""
-    return F.when(kind.isin("phone", "card", "ssn"), _digits(match)).when(kind == "name", F.lower(F.regexp_replace(match, r"^(\S+?)\.? ", "$1 "))).otherwise(F.lower(match))
+    number = F.concat(F.when(match.startswith("+"), "+").otherwise(""), _digits(match))
+    name = F.concat(F.when(_male(F.split(match, " ")[0]), "m ").otherwise("f "), F.lower(F.regexp_replace(match, r"^\S+ ", "")))
+    return F.when(kind.isin("phone", "card", "ssn"), number).when(kind == "name", name).otherwise(F.lower(match))
+
+
+def _male(title: Column) -> Column:
+    return F.regexp_replace(title, r"\.$", "").isin(*MALE)
+
+
+def _linked(found: Column) -> Column:
+    """The matches, surnames alone with the canonical form of the full name that they belong to."""
+    last = lambda canon: F.concat(F.substring(canon, 1, 2), F.substring_index(canon, " ", -1))
+
+    def link(every: Column, e: Column, i: Column) -> Column:
+        full = lambda x: (x["kind"] == "name") & x["canon"].rlike("^. .* ") & (last(x["canon"]) == e["canon"])
+        before = F.try_element_at(F.filter(F.slice(every, F.lit(1), i), full), F.lit(-1))
+        after = F.get(F.filter(every, full), F.lit(0))
+        alone = (e["kind"] == "name") & ~e["canon"].rlike("^. .* ")
+        canon = F.when(alone, F.coalesce(before["canon"], after["canon"], e["canon"])).otherwise(e["canon"])
+        return F.struct(e["kind"].alias("kind"), e["match"].alias("match"), canon.alias("canon"))
+
+    # Through an array of one, the matches are found once and not anew for each surname.
+    return F.get(F.transform(F.array(found), lambda every: F.transform(every, lambda e, i: link(every, e, i))), F.lit(0))
 
 
 def entities(text: Column) -> Column:
     """All matches as array<struct<kind, match, canon>>, entities or not, in order."""
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     kinds = F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("match")))
-    return F.transform(kinds, lambda e: F.struct(e["kind"].alias("kind"), e["match"].alias("match"), canonical(e["kind"], e["match"]).alias("canon")))
+    return _linked(F.transform(kinds, lambda e: F.struct(e["kind"].alias("kind"), e["match"].alias("match"), canonical(e["kind"], e["match"]).alias("canon"))))
 
 
 def _stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
@@ -109,14 +138,16 @@ def _reshape(match: Column, stream: Column, kept: Column) -> Column:
     return F.aggregate(F.split(match, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), step)["out"]
 
 
-def _name(match: Column, stream: Column) -> Column:
+def _name(match: Column, stream: Column, canon: Column) -> Column:
     words = F.split(match, " ")
     title, rest = words[0], F.slice(words, 2, 9)
-    male = F.regexp_replace(title, r"\.$", "").isin(*MALE)
+    male = _male(title)
+    # Words of the full name before those written.
+    ahead = F.size(F.split(canon, " ")) - F.size(words)
 
     def word(w: Column, i: Column) -> Column:
         cyrillic = w.rlike("^[А-ЯЁа-яё]")
-        pick = lambda table: F.concat(*(F.element_at(F.array(*map(F.lit, table)), _hex(stream, i * 6 + k, 1) + 1) for k in range(5)))
+        pick = lambda table: F.concat(*(F.element_at(F.array(*map(F.lit, table)), _hex(stream, (i + ahead) * 6 + k, 1) + 1) for k in range(5)))
         latin_end, cyrillic_end = F.when(male, "n").otherwise("la"), F.when(male, "н").otherwise("на")
         return F.initcap(F.when(cyrillic, F.concat(pick(_CYRILLIC), cyrillic_end)).otherwise(F.concat(pick(_SYLLABLES), latin_end)))
 
@@ -126,7 +157,7 @@ def _name(match: Column, stream: Column) -> Column:
 def surrogate(key: str, kind: Column, match: Column, canon: Column, attempt: Column) -> Column:
     """The replacement of a match, in its format; a match that is no entity stays."""
     stream = _stream(key, kind, canon, attempt)
-    number = _reshape(match, stream, F.when(match.startswith("+"), F.length(F.regexp_extract(match, r"^\+([0-9]{1,3}?)(?:[ .(-]|[0-9]{8,})", 1))).otherwise(0))
+    number = _reshape(match, stream, F.length(F.regexp_extract(canon, _COUNTRY, 1)))
     card = _reshape(match, stream, F.lit(1))
     zero = F.concat(F.substring(_digits(card), F.lit(1), F.length(_digits(card)) - 1), F.lit("0"))
     check = (10 - _luhn_sum(zero) % 10) % 10
@@ -134,13 +165,16 @@ def surrogate(key: str, kind: Column, match: Column, canon: Column, attempt: Col
     octets = F.concat_ws(".", *((_hex(stream, F.lit(i)) % 254 + 1).cast("string") for i in range(4)))
     at = F.instr(match, "@")
     mail = F.concat(_reshape(F.substring(match, F.lit(1), at - 1), stream, F.lit(0)), F.lit("@"), F.lit("m"), F.substring(stream, F.lit(101), F.lit(10)), F.lit(".example.org"))
-    return F.when(kind == "email", mail).when(kind == "ipv4", octets).when(kind == "card", card).when(kind == "name", _name(match, stream)).when(kind.isin("phone", "ssn"), number).otherwise(match)
+    return F.when(kind == "email", mail).when(kind == "ipv4", octets).when(kind == "card", card).when(kind == "name", _name(match, stream, canon)).when(kind.isin("phone", "ssn"), number).otherwise(match)
 
 
 def found_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The distinct entities of all texts: kind, canon, and the least of the forms in which it is written."""
+    """The distinct entities of all texts: kind, canon, and the least of the forms in which it is written whole.
+
+    All whole forms of an entity have surrogates of one canonical form, so one form stands for them.
+    """
     each = docs.select(F.explode(entities(F.col(text_col).cast("string"))).alias("e")).select("e.kind", "e.canon", "e.match").where("kind IS NOT NULL")
-    return each.groupBy("kind", "canon").agg(F.min("match").alias("match"))
+    return each.groupBy("kind", "canon").agg(F.min(F.struct((-F.size(F.split("match", " "))).alias("n"), "match"))["match"].alias("match"))
 
 
 def attempts(found: DataFrame, key: str) -> DataFrame:
