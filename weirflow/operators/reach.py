@@ -2,51 +2,48 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_MADE: dict[str, str] = {}
-
-
-def _folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of this process where none is set."""
-    import tempfile
-
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    return told.rstrip("/") if told else _MADE.setdefault(app, "file://" + tempfile.mkdtemp(prefix="weirflow-reach-"))
-
-
-def _table(df: DataFrame) -> DataFrame:
-    path = f"{_folder(df.sparkSession)}/reach-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.shared import discard, stage
 
 
 def digest_edges(objects: DataFrame, id_col: str, body: str) -> DataFrame:
-    """Digests that stand as whole JSON strings anywhere in an object's body."""
-    found = F.regexp_extract_all(F.col(body), F.lit('"([a-z0-9]+:[0-9a-f]{64})"'), F.lit(1))
-    return objects.select(F.col(id_col).alias("src"), F.explode(found).alias("dst")).distinct()
+    """Digests that are whole JSON string values anywhere in an object's body.
+
+    Escaped pairs, which only stand inside strings, are blanked first, so that every quote left
+    begins or ends a string; a string before a colon is a key and no value.
+    """
+    plain = F.regexp_replace(F.col(body), r"(?s)\\.", "\ufffd")
+    strings = F.regexp_extract_all(plain, F.lit(r'"[^"]*+"\s*+:?'), F.lit(0))
+    values = F.transform(F.filter(strings, lambda s: s.rlike(r'^"[a-z0-9]+:[0-9a-f]{64}"\s*$')), lambda s: F.split(s, '"')[1])
+    return objects.select(F.col(id_col).alias("src"), F.explode(values).alias("dst")).distinct()
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """G1: all nodes reachable from ``roots`` (node) along ``edges`` (src, dst), with the number of steps.
 
-    A round joins the frontier with the edges and keeps what is new. Each round is a table in
+    Edges are written once, without those that lead back to their own source. A round joins the
+    frontier with the edges, marks what is new against the nodes seen, and both are tables in
     the shared folder, so a lost executor repeats one round, and the plan stays short. Rounds
     are as many as the longest shortest path; targets that no object has are counted as well.
     """
-    frontier = _table(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    seen, depth = frontier, 0
+    links = stage(edges.where("src <> dst").select("src", "dst"), "edges")
+    seen = [stage(roots.select("node").distinct().withColumn("depth", F.lit(0)), "reach")]
     while True:
-        depth += 1
-        ahead = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = _table(ahead.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier)
+        front = seen[-1].select(F.col("node").alias("src"))
+        ahead = links.join(front, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        known = seen[0].select("node")
+        for s in seen[1:]:
+            known = known.union(s.select("node"))
+        new = stage(ahead.join(known, "node", "left_anti").withColumn("depth", F.lit(len(seen))), "reach")
+        if new.isEmpty():
+            discard(new, links)
+            out = seen[0]
+            for s in seen[1:]:
+                out = out.union(s)
+            return out
+        seen.append(new)
 
 
 def candidates(objects: DataFrame, reached: DataFrame, now: Column, grace_days: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import checks, identity
 from .operators import catalog, feed, folds, history, idempotency, measure, paging, reach
 from .sources import blobs
+from .sources.shared import own_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -523,8 +524,10 @@ def object_key_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT event_id AS src, unnest(['hs2:' || sha256(encode(props)), 'hs2:' || sha256(encode(event_type))]) AS dst FROM events")
 def digest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = lambda c: F.concat(F.lit("hs2:"), F.sha2(F.col(c).cast("binary"), 256))
-    body = F.to_json(F.struct(h("props").alias("head"), F.array(h("event_type")).alias("list"), F.concat(F.lit("see "), h("event_type")).alias("note")))
+    h = lambda c: F.concat(F.lit("hs2:"), F.sha2(F.col(c).cast("string").cast("binary"), 256))
+    # as a key, quoted inside a string, and beside other text a digest is no edge
+    key, quoted = F.create_map(h("user_id"), F.lit("hs2:")), F.concat(F.lit('see "'), h("event_id"), F.lit('" and "'))
+    body = F.to_json(F.struct(h("props").alias("head"), F.array(h("event_type")).alias("list"), F.concat(F.lit("see "), h("event_type")).alias("note"), key.alias("keys"), quoted.alias("quoted")))
     return reach.digest_edges(events(spark, sf_dir).select("event_id", body.alias("body")), "event_id", "body")
 
 
@@ -567,7 +570,7 @@ def sweep_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_GRAPH}, m AS (SELECT 'o' || o_orderkey NOT IN (SELECT node FROM reached) AS free, o_orderdate <= TIMESTAMP '{_SWEEP_NOW}' - INTERVAL 30 DAY AS old FROM orders)
-    SELECT CAST(38 AS BIGINT) AS refs_scanned, count(*) AS objects_scanned, (SELECT count(*) FROM reached) AS reachable, count(*) FILTER (WHERE free AND NOT old) AS in_grace, count(*) FILTER (WHERE free AND old) AS candidates, CAST(0 AS BIGINT) AS deleted FROM m""")
+    SELECT (SELECT count(*) FROM customer WHERE c_custkey % 40 = 1) AS refs_scanned, count(*) AS objects_scanned, (SELECT count(*) FROM reached) AS reachable, count(*) FILTER (WHERE free AND NOT old) AS in_grace, count(*) FILTER (WHERE free AND old) AS candidates, CAST(0 AS BIGINT) AS deleted FROM m""")
 def sweep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach.report(_orders(spark, sf_dir), _reached(spark, sf_dir), _roots(spark, sf_dir).count(), F.lit(_SWEEP_NOW).cast("timestamp_ntz"), 30)
 
@@ -635,9 +638,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """What a stream gives over all there is now, as a table in the shared folder."""
-    import uuid
-
-    at = f"{reach._folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = own_path(spark, name)
     query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
