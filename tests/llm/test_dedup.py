@@ -205,7 +205,7 @@ def test_banded_distance():
     for _ in range(3000):
         a = "".join(rng.choice("abcé") for _ in range(rng.randrange(15)))
         b = edited(rng, a, rng.randrange(5))
-        for tau in (1, 2, 3):
+        for tau in (0, 1, 2, 3):
             assert lines.within(a, b, tau) == (distance(a, b) <= tau)
 
 
@@ -215,10 +215,11 @@ def brute_lines(rows):
     for i, k, x in occurrences:
         first.setdefault(x, (i, k))
         union.find(x)
-    long = [x for x in first if len(x) >= lines.SHORTEST]
-    for n, x in enumerate(long):
-        for y in long[n + 1 :]:
-            if abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2:
+    every = list(first)
+    for n, x in enumerate(every):
+        for y in every[n + 1 :]:
+            edits = min(2, max(len(x), len(y)) // 6)
+            if abs(len(x) - len(y)) <= edits and distance(x, y) <= edits:
                 links[x] += 1
                 links[y] += 1
                 union.join(x, y)
@@ -236,7 +237,7 @@ def brute_lines(rows):
 def test_line_join(spark):
     """Lines of few letters with up to four edits, so that many are near the limit."""
     rng = random.Random(6)
-    base = ["".join(rng.choice("abcé ") for _ in range(rng.randrange(8, 40))) for _ in range(40)]
+    base = ["".join(rng.choice("abcé ") for _ in range(rng.randrange(2, 30))) for _ in range(40)]
     rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.randrange(5)) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
     found = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute_lines(rows)
@@ -244,6 +245,14 @@ def test_line_join(spark):
     assert sum(w[1] for w in want.values()) > 100
 
 
+def test_short_lines_are_joined(spark):
+    """At the lengths where one more edit is allowed, and below, where none is."""
+    rows = [(1, "menu\nmenus\nnemu\nhome\n12345\n12346"), (2, "search\nserch\nsearchx\nsarchx"), (3, "abcdefghijk\nabcdefghijkl\nabcdefghij\nbcdefghijk\nxbcdefghijk")]
+    found = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [r.n_lines, r.n_links, r.kept] for r in found} == brute_lines(rows)
+    assert {r.doc_id: r.n_kept for r in found} == {1: 6, 2: 1, 3: 1}
+
+
 def test_line_join_of_a_crowded_key(spark):
     """Over HOT lines that share a segment."""
     rng = random.Random(7)

@@ -108,6 +108,29 @@ def test_packing(spark, docs):
     assert sizes.count(2048) > 0.8 * len(sizes)
 
 
+def test_few_windows_are_cut_end_to_end(spark):
+    """Of many tasks' leftovers little is cut into powers of two."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(32)
+    rows = packing.pack(docs, WORDS, checksum_only=True).collect()
+    sizes = check_packing(rows, [(r.doc_id, r.text) for r in docs.collect()])
+    assert sum(s < 2048 for s in sizes) < 0.1 * len(sizes)
+
+
+def test_what_waits_is_bounded():
+    import numpy as np
+
+    packer = packing.Packer(block=1 << 15)
+    full = held = 0
+    for i in range(600):
+        for window in packer.put(i, np.arange(1500, dtype=np.uint32)):
+            full += sum(len(p[2]) for p in window) == 2048
+        held = max(held, packer.held)
+    assert held < (1 << 15) + 2048
+    ends = [sum(len(p[2]) for p in w) for w in packer.end()]
+    assert full * 2048 + sum(ends) == 600 * 1500
+    assert all(x == 2048 or x & (x - 1) == 0 for x in ends) and sum(x < 2048 for x in ends) <= 11
+
+
 def test_pipeline_packs_token_ids(spark, docs):
     import corpus_pipeline
 
@@ -197,17 +220,76 @@ def test_secrets_odd_input(spark, docs):
     assert sum(a.text != b.text for a, b in zip(clean, docs.collect(), strict=True)) == sum(bool(r.spans) for r in secrets.findings(docs).collect())
 
 
-def test_language_models_are_distributions():
-    import pandas as pd
+def plain_kneser_ney(counts, alphabet):
+    """Interpolated Kneser-Ney by its definition, with dictionaries."""
+    import math
 
-    counts = {"x": pd.Series({"abca": 3, "bcab": 2, "caba": 1, "abab": 1}), "y": pd.Series({"aaaa": 5, "aaab": 1})}
-    models = langid.Models(["x", "y"], counts)
-    letters = sorted({c for s in counts.values() for g in s.index for c in g})
-    for context in ("abc", "aaa", "bca", "cba"):
-        import numpy as np
+    table = {4: counts}
+    for k in (3, 2, 1):
+        table[k] = {}
+        for g in table[k + 1]:
+            table[k][g[1:]] = table[k].get(g[1:], 0) + 1
+    discount = {}
+    for k, c in table.items():
+        n1, n2 = (sum(x == i for x in c.values()) for i in (1, 2))
+        discount[k] = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
+
+    def p(g):
+        k = len(g)
+        if k == 0:
+            return 1 / (len(alphabet) + 1)
+        ahead = [c for h, c in table[k].items() if h[:-1] == g[:-1]]
+        if not ahead:
+            return p(g[1:])
+        return max(table[k].get(g, 0) - discount[k], 0) / sum(ahead) + discount[k] * len(ahead) / sum(ahead) * p(g[1:])
+
+    return lambda g: math.log(p(g))
+
+
+@pytest.mark.parametrize("together", [8, 1])
+def test_language_models_are_kneser_ney(monkeypatch, together):
+    import numpy as np
+    import pandas as pd
 
-        total = sum(np.exp(models.score_grams([context + c], 4)[0]) for c in letters)
-        assert all(0.5 < t <= 1 + 1e-5 for t in total)  # the rest is for letters never seen
+    monkeypatch.setattr(langid, "TOGETHER", together)
+    rng = random.Random(4)
+    counts = {}
+    for lang, letters in (("x", "abc "), ("y", "ab"), ("z", "cdé ")):
+        text = "".join(rng.choice(letters) for _ in range(150))
+        grams = [text[i : i + 4] for i in range(len(text) - 3)]
+        counts[lang] = {g: grams.count(g) for g in grams}
+    alphabet = {c for s in counts.values() for g in s for c in g}
+    models = langid.Models.of({x: pd.Series(s) for x, s in counts.items()})
+    grams = sorted({g for s in counts.values() for g in s}) + ["".join(rng.choice("abcdé q") for _ in range(4)) for _ in range(300)]
+    got = np.concatenate([g.score_grams(grams, 4) for g in models.groups], axis=1)
+    for j, lang in enumerate("xyz"):
+        plain = plain_kneser_ney(counts[lang], alphabet)
+        assert np.abs(got[:, j] - [plain(g) for g in grams]).max() < 1e-4
+    for context in ("abc", "aaa", "qqq", " cd"):
+        every = np.concatenate([g.score_grams([context + c for c in [*alphabet, "?"]], 4) for g in models.groups], axis=1)
+        assert np.abs(np.exp(every).sum(axis=0) - 1).max() < 1e-4
+    text = "abca cdé ba" * 20
+    total, n = models.sums([text])
+    codes = "".join(map(chr, np.concatenate(list(langid.symbols(text)))))
+    for j, lang in enumerate("xyz"):
+        plain = plain_kneser_ney(counts[lang], alphabet)
+        assert abs(total[0, j] - sum(plain(codes[i : i + 4]) for i in range(len(codes) - 3))) < 1e-2
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """More labels than a group holds; repeated rows, clashing names, a very long text."""
+    monkeypatch.setattr(langid, "TOGETHER", 5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(100 * k + i, " ".join([letters[k] + letters[(k + 1) % 26] * 2 + letters[(k + 2) % 26]] * 30), f"l{k:02}", 0, "x") for k in range(13) for i in range(40)]
+    rows += [(9000, rows[0][1] * 3000, "l00", 0, "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, lang_pred string")
+    models = langid.learn(docs)
+    assert len(models.langs) == 13 and len(models.groups) == 3
+    got = langid.identify(docs, models).collect()
+    assert len(got) == len(rows)
+    assert all(r.lang_pred == f"l{r.doc_id // 100:02}" for r in got if r.doc_id != 9000)
+    assert [r.lang_pred for r in got if r.doc_id == 9000] == ["l00", "l00"]
+    assert langid.accepted(docs, models).columns == docs.columns
 
 
 def test_held_out_languages(spark, sf_dir):

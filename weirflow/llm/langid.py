@@ -1,22 +1,26 @@
 """Language ID with interpolated Kneser-Ney character models.
 
 Each language has a character model with interpolated Kneser-Ney smoothing: raw counts at the
-top order, continuation counts below, one discount per order. All models are stored together
-as sorted arrays of n-gram hashes, one per order, beside a matrix with a column per language;
-a text is scored by binary search, with back-off only for n-grams that no language knows. The
-language with the lowest cross-entropy per symbol is chosen.
+top order, continuation counts below, one discount per order. Models are stored in groups of
+``TOGETHER`` languages as sorted arrays of n-gram hashes, one per order, beside a matrix with a
+column per language; a text is scored by binary search, with back-off only for n-grams that no
+language of the group knows. Groups only bound the matrices, so that memory grows with the
+number of languages and not with its square: a language's figures are the same in any group.
+The language with the lowest cross-entropy per symbol is chosen.
 
 Learning takes ``SAMPLE`` documents a language (expected number; chosen by a hash of the id,
 whole texts) from those with crc32(id) mod 5 not 0; remainders 1 to 3 are counted, remainder 4
 calibrates: the sharpness that turns cross-entropies into probabilities, and for each
-language the cross-entropy above which a text is rejected as being none of the languages. At
-most ``GRAMS`` n-grams of the top order a language are kept, the most frequent ones, which
-bounds the models that are sent to the workers. Predictions read nothing but the text, whole.
+language the cross-entropy above which a text is rejected as being none of the languages. All
+n-grams of the sample enter the models, so ``SAMPLE`` is what bounds them. Any number of labels
+is learned, at the cost of a pass over a text for each ``TOGETHER`` of them. Predictions read
+nothing but the text, whole.
 
 Defined results for odd input: a null text or one without a letter is ``und`` with score 0,
 and rejected; with nothing to learn from all are. Null ids are not held out and not learned
-from; null languages are not learned from. Equal rows each get their own result; an empty
-table gives an empty result. Only the named columns are read.
+from; null languages are not learned from, nor are languages of which no sampled text has
+``ORDER`` symbols. Equal rows each get their own result; an empty table gives an empty result.
+Very long texts are scored in pieces with the same result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -31,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import table
+from .fingerprints import bounded
+from .staging import discard, stage, table
 
 ORDER = 4
-#: Documents of a language to learn from, and n-grams of a language to keep.
+#: Documents of a language to learn from, a bounded sample of the labelled rows.
 SAMPLE = 3000
-GRAMS = 200_000
-#: Languages at most: the models' size is in proportion.
-LANGUAGES = 256
+#: Languages whose models stand in one matrix.
+TOGETHER = 8
 #: Symbols scored at a time.
 PIECE = 1 << 19
 _LETTER = re.compile(r"[^\W\d_]")
@@ -102,20 +106,16 @@ def look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), dtype=bool)
 
 
-class Models:
-    """The character models of all languages."""
+class Group:
+    """The character models of a few languages."""
 
-    def __init__(self, langs: list[str], counts: dict[str, pd.Series], order: int = ORDER):
-        self.langs, self.order = langs, order
-        self.sharpness = 1.0
-        self.limits = np.full(len(langs), np.inf)
-        alphabet = {c for s in counts.values() for g in s.index for c in g}
-        self.floor = -float(np.log(len(alphabet) + 1))
+    def __init__(self, langs: list[str], counts: dict[str, pd.Series], floor: float, order: int = ORDER):
+        self.langs, self.order, self.floor = langs, order, floor
         by_order: dict[int, list[pd.Series]] = {order: [counts[x] for x in langs]}
-        for k in range(order - 1, 0, -1) if langs else ():
+        for k in range(order - 1, 0, -1):
             by_order[k] = [pd.Series(s.index.str[1:]).value_counts() for s in by_order[k + 1]]
         self.levels: list[Level] = []
-        for k in range(1, order + 1) if langs else ():
+        for k in range(1, order + 1):
             self.levels.append(self._level(k, by_order[k]))
 
     def _level(self, k: int, series: list[pd.Series]) -> Level:
@@ -214,6 +214,28 @@ class Models:
         flush()
         return total, n
 
+
+class Models:
+    """The character models of all languages, and how to decide between them."""
+
+    def __init__(self, langs: list[str], groups: list[Group]):
+        self.langs, self.groups = langs, groups
+        self.place = {x: j for j, x in enumerate(langs)}
+        self.sharpness = 1.0
+        self.limits = np.full(len(langs), np.inf)
+
+    @staticmethod
+    def of(counts: dict[str, pd.Series], order: int = ORDER) -> Models:
+        """From counts of n-grams by language."""
+        langs = sorted(counts)
+        floor = floor_of({c for s in counts.values() for g in s.index for c in g})
+        return Models(langs, [Group(part, counts, floor, order) for part in parts(langs)])
+
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of log-probabilities by language, and number of symbols, for each text."""
+        got = [g.sums(texts) for g in self.groups]
+        return np.concatenate([t for t, _ in got], axis=1), got[0][1]
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score, and whether it is rejected, of each text."""
         lang, score, out = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
@@ -247,6 +269,15 @@ class Models:
                 self.limits[j] = float(np.quantile(own, 0.999)) + 1.0
 
 
+def parts(langs: list[str]) -> list[list[str]]:
+    return [langs[i : i + TOGETHER] for i in range(0, len(langs), TOGETHER)]
+
+
+def floor_of(alphabet: set[str]) -> float:
+    """Log-probability of a symbol under no model: all symbols of the sample, and one for others."""
+    return -float(np.log(len(alphabet) + 1))
+
+
 def _split(found: np.ndarray) -> list[str]:
     text = found.tobytes().decode("utf-32-le", "surrogatepass")
     return [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
@@ -260,17 +291,12 @@ def remainder(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, grams: int = GRAMS) -> Models:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Models:
     """Models from a bounded sample of the labelled documents that aren't held out."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), remainder(id_col).alias("fold"), F.xxhash64(F.col(id_col)).alias("h"))
-    rows = rows.where("fold <> 0 AND lang IS NOT NULL")
-    found = rows.groupBy("lang").count().orderBy("lang").limit(LANGUAGES + 1).collect()
-    if len(found) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages to learn")
-    if not found:
-        return Models([], {})
-    share = F.create_map(*(x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))))
-    rows = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).where("text IS NOT NULL")
+    rows = rows.where("fold <> 0 AND lang IS NOT NULL AND text IS NOT NULL")
+    shares = stage(rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), sample / F.col("count")).alias("share")), "shares")
+    rows = rows.join(bounded(shares, shares.count()), "lang").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("text", "lang", "fold")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], int] = {}
@@ -288,13 +314,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     seen.clear()
         yield _rows(seen)
 
-    counted = rows.where("fold < 4").select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.expr("row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram)")
-    got = counted.withColumn("place", place).where(F.col("place") <= grams).select("lang", "gram", "n").toPandas()
-    langs = sorted(got["lang"].unique())
-    models = Models(langs, {x: g.set_index("gram")["n"] for x, g in got.groupby("lang")})
+    counted = stage(rows.where("fold < 4").select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    langs = [r.lang for r in counted.select("lang").distinct().orderBy("lang").collect()]
+    letters = counted.select(F.explode(F.split("gram", "")).alias("c")).distinct().collect()
+    floor, groups = floor_of({r.c for r in letters if r.c}), []
+    for part in parts(langs):  # one group at a time is on the driver as strings
+        got = counted.where(F.col("lang").isin(part)).toPandas()
+        groups.append(Group(part, {x: g.set_index("gram")["n"] for x, g in got.groupby("lang")}, floor))
+    models = Models(langs, groups)
     if langs:
         calibrate(models, rows.where("fold = 4").select("text", "lang"))
+    discard(counted, shares)
     return models
 
 
@@ -305,10 +335,10 @@ def calibrate(models: Models, rows: DataFrame) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                pairs = [(t, x) for t, x in zip(b.slice(at, 256).column(0).to_pylist(), b.slice(at, 256).column(1).to_pylist(), strict=True) if x in shared.value.langs and _LETTER.search(t)]
+                pairs = [(t, x) for t, x in zip(b.slice(at, 256).column(0).to_pylist(), b.slice(at, 256).column(1).to_pylist(), strict=True) if x in shared.value.place and _LETTER.search(t)]
                 if pairs:
                     total, n = shared.value.sums([t for t, _ in pairs])
-                    cols = [pa.array([shared.value.langs.index(x) for _, x in pairs], pa.int32()), pa.array(n, pa.int64()), pa.array(list(-total / n[:, None]), pa.list_(pa.float64()))]
+                    cols = [pa.array([shared.value.place[x] for _, x in pairs], pa.int32()), pa.array(n, pa.int64()), pa.array(list(-total / n[:, None]), pa.list_(pa.float64()))]
                     yield pa.RecordBatch.from_arrays(cols, ["truth", "n", "entropy"])
 
     got = rows.mapInArrow(run, "truth int, n long, entropy array<double>").toPandas()

@@ -1,23 +1,26 @@
 """Line dedup by a segment-partition edit join.
 
-Lines within ``TAU`` edits (code points inserted, deleted or replaced) of each other are
-links. A line is split into TAU + 1 segments; of two linked lines, some segment of the shorter
-occurs in the longer one, near its place. Keys are hashes of (length, segment number, segment)
-for each line, and of the substrings a longer line must be probed with, chosen by the
-length-aware multi-match rule. Keys that only one line has are dropped before lines are put
-together. Two cheap exact filters come with the join: an edit flips at most two bits of a
-parity word over characters and four of one over character pairs. A key with many lines is
-split further by the pigeonhole principle: of 2 * TAU + 1 parts of the parity word one agrees.
-Pairs that pass are verified by banded bit-parallel edit distance.
-
-Lines of under ``SHORTEST`` characters, for which two edits are a different line, are equal
-only to themselves. Lines are classes under links and equality; of each class the first line
-stays, by document id and line number.
+Lines are links if they are within as many edits (code points inserted, deleted or replaced) of
+each other as the longer one allows: one for each ``EACH`` of its characters, ``TAU`` at most.
+So a line of under six characters is equal only to itself, one of six to eleven is linked by
+one edit, all others by two. A line is split into one segment more than there are edits; of two
+linked lines, some segment of the shorter occurs in the longer one, near its place. Keys are
+hashes of (edits, length, segment number, segment) for each line, and of the substrings a longer
+line must be probed with, chosen by the length-aware multi-match rule. Lines that can be linked
+by one edit and by two have the keys for both. Keys that only one line has are dropped before
+lines are put together. Two cheap exact filters come with the join: an edit flips at most two
+bits of a parity word over characters and four of one over character pairs. A key with many
+lines is split further by the pigeonhole principle: of 2 * TAU + 1 parts of the parity word one
+agrees. Pairs that pass are verified by banded bit-parallel edit distance.
+
+Equal lines are one node of the join, so copies are never paired. All links between different
+lines are found and counted. Lines are classes under links and equality; of each class the
+first line stays, by document id and line number.
 
 Defined results for odd input: empty lines are never duplicates and aren't counted; a null or
-empty text has no lines; rows with a null id come first. Equal rows each get a result of their
-own, and at most one of them keeps a line. An empty table gives an empty result. Only the id
-and text columns are read.
+empty text has no lines; rows with a null id come first. Very long lines are joined like all
+others. Equal rows each get a result of their own, and at most one of them keeps a line. An
+empty table gives an empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ from .fingerprints import bounded
 from .staging import stage, table
 
 TAU = 2
-SHORTEST = 12
+#: Characters of the longer line for each edit.
+EACH = 6
 #: Lines of a key above which it is split by parity parts.
 HOT = 64
 PIECE = 1 << 20
@@ -62,6 +66,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def allowed(n: int, tau: int = TAU) -> int:
+    """Edits by which lines are linked, the longer one having n characters."""
+    return min(tau, n // EACH)
+
+
 def keys(codes: np.ndarray, starts: np.ndarray, n: np.ndarray, tau: int = TAU) -> np.ndarray:
     """For each line its tau + 1 index keys, then its probe keys; lines are codes[start : start + n].
 
@@ -78,7 +87,7 @@ def keys(codes: np.ndarray, starts: np.ndarray, n: np.ndarray, tau: int = TAU) -
         a = starts + np.clip(at + shift, 0, None)
         b = np.minimum(a + size, starts + n)
         h = (sums[b] - sums[a]) * inverse[a]
-        return _mixed(_mixed(h) + (length * (tau + 1) + i).astype(np.uint64) * _MIX2)
+        return _mixed(_mixed(h) + (length * (tau + 1) + i).astype(np.uint64) * _MIX2 + np.uint64(tau))
 
     out = [key(n, i, 0) for i in range(tau + 1)]
     for delta in range(tau + 1):
@@ -88,6 +97,26 @@ def keys(codes: np.ndarray, starts: np.ndarray, n: np.ndarray, tau: int = TAU) -
     return np.stack(out, axis=1)
 
 
+def all_keys(codes: np.ndarray, starts: np.ndarray, n: np.ndarray, tau: int = TAU) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of all lines for every number of edits by which they can be linked, whether each is
+    an index key, and the number of keys of each line. One matrix a number of edits."""
+    made = []
+    for edits in range(1, tau + 1):
+        # as the shorter line of a pair or as the longer one
+        most = EACH * (edits + 1) - 1 if edits < tau else None
+        some = np.flatnonzero((n >= EACH * edits - edits) & (n <= most if most else True))
+        k = keys(codes, starts[some], n[some], edits)
+        made.append((some, k, np.arange(k.shape[1]) <= edits))
+    counts = np.zeros(len(n), dtype=np.int64)
+    for some, k, _ in made:
+        counts[some] += k.shape[1]
+    line = np.concatenate([np.repeat(some, k.shape[1]) for some, k, _ in made])
+    order = np.argsort(line, kind="stable")
+    flat = np.concatenate([k.ravel() for _, k, _ in made])
+    own = np.concatenate([np.tile(o, len(some)) for some, _, o in made])
+    return flat[order].astype(np.int64), own[order], counts
+
+
 def parities(codes: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two words a line: which hashed characters, and pairs of characters, occur an odd number of times."""
     one = np.uint64(1) << (_mixed(codes.astype(np.uint64)) & np.uint64(63))
@@ -102,8 +131,8 @@ def within(a: str, b: str, tau: int = TAU) -> bool:
     """Whether the edit distance is at most tau: vertical differences of a band of 2 * tau + 2 rows in one word."""
     if abs(len(a) - len(b)) > tau:
         return False
-    if a == b:
-        return True
+    if a == b or not tau:
+        return a == b
     if len(a) < len(b):
         a, b = b, a
     if len(a) <= tau:
@@ -147,7 +176,7 @@ def _groups(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
-    """Per non-empty line: its row and number there, digest, length, keys and parities.
+    """Per non-empty line: its row and number there, digest, length, keys, which are index keys, and parities.
 
     A line that the same task has met before comes without keys.
     """
@@ -175,19 +204,21 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
                 if len(met) > 500_000:
                     met.clear()
                 starts, n = starts[some], n[some]
-                keyed = np.flatnonzero(fresh & (n >= SHORTEST))
-                made = keys(codes, starts[keyed], n[keyed], tau).astype(np.int64)
-                offsets = np.concatenate(([0], np.cumsum(np.where(fresh & (n >= SHORTEST), made.shape[1], 0)))).astype(np.int32)
+                keyed = np.flatnonzero(fresh)
+                made, own, counts = all_keys(codes, starts[keyed], n[keyed], tau)
+                size = np.zeros(len(n), dtype=np.int64)
+                size[keyed] = counts
+                offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
                 one, two = parities(codes, starts, n)
                 doc = np.repeat(np.arange(len(texts)), count)[some]
                 number = (np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count))[some]
                 h = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
                 take = pa.array(doc)
                 cols = [part.column(0).take(take), part.column(1).take(take), pa.array(number, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(n, pa.int32())]
-                cols += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(made.ravel(), pa.int64())), pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rid", "line_no", "h1", "h2", "n", "keys", "p1", "p2"])
+                cols += [pa.ListArray.from_arrays(offsets, pa.array(made, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(own)), pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rid", "line_no", "h1", "h2", "n", "keys", "own", "p1", "p2"])
 
-    return _picked(docs, id_col, text_col).mapInArrow(run, "doc_id long, rid long, line_no int, h1 long, h2 long, n int, keys array<long>, p1 long, p2 long")
+    return _picked(docs, id_col, text_col).mapInArrow(run, "doc_id long, rid long, line_no int, h1 long, h2 long, n int, keys array<long>, own array<boolean>, p1 long, p2 long")
 
 
 def line_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +227,7 @@ def line_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in _groups(b):
-                flat = list(dict.fromkeys(y for x in part.column(2).to_pylist() for y in x.split("\n") if len(y) >= SHORTEST))
+                flat = list(dict.fromkeys(y for x in part.column(2).to_pylist() for y in x.split("\n") if len(y) >= EACH - 1))
                 h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in flat), dtype="<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(flat, pa.string())], ["h1", "h2", "line"])
 
@@ -205,16 +236,17 @@ def line_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def candidates(lines: DataFrame, tau: int = TAU) -> DataFrame:
     """Pairs of digests (h1, h2) < (g1, g2) that share a key and pass the filters."""
-    each = lines.select("h1", "h2", "n", "p1", "p2", F.posexplode("keys").alias("pos", "key")).withColumn("own", F.col("pos") <= tau)
+    each = lines.select("h1", "h2", "n", "p1", "p2", F.explode(F.arrays_zip("keys", "own")).alias("k")).select("h1", "h2", "n", "p1", "p2", "k.keys", "k.own").withColumnRenamed("keys", "key")
     live = each.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("own").alias("own")).where("own AND lo <> hi").select("key")
     live = stage(live, "keys")
-    put = stage(each.drop("pos").join(bounded(live, live.count()), "key", "left_semi").distinct(), "keyed")
+    put = stage(each.join(bounded(live, live.count()), "key", "left_semi").distinct(), "keyed")
     crowded = put.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
     # of 2 * tau + 1 parts of the parity word, one is the same in two linked lines
     size = 64 // (2 * tau + 1)
     split = F.array(*(F.xxhash64("key", F.lit(i), F.shiftrightunsigned("p1", i * size).bitwiseAND(F.lit((1 << size) - 1 if i < 2 * tau else (1 << (64 - i * size)) - 1))) for i in range(2 * tau + 1)))
     put = stage(put.join(crowded, "key", "left").withColumn("key", F.explode(F.when(F.col("hot"), split).otherwise(F.array("key")))).drop("hot"), "split")
-    near: Column = (F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1"))) <= 2 * tau) & (F.bit_count(F.col("x.p2").bitwiseXOR(F.col("y.p2"))) <= 4 * tau) & (F.abs(F.col("x.n") - F.col("y.n")) <= tau)
+    edits = F.least(F.lit(tau), F.floor(F.greatest("x.n", "y.n") / EACH))
+    near: Column = (F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1"))) <= 2 * edits) & (F.bit_count(F.col("x.p2").bitwiseXOR(F.col("y.p2"))) <= 4 * edits) & (F.abs(F.col("x.n") - F.col("y.n")) <= edits)
     other = (F.col("x.h1") < F.col("y.h1")) | (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") < F.col("y.h2"))
     met = put.alias("x").join(put.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.own") | F.col("y.own")) & other & near)
     return met.select("x.h1", "x.h2", F.col("y.h1").alias("g1"), F.col("y.h2").alias("g2")).distinct()
@@ -229,7 +261,7 @@ def links(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([within(x, y, tau) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], pa.bool_())).select([0, 1, 2, 3])
+            yield b.filter(pa.array([within(x, y, allowed(max(len(x), len(y)), tau)) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)], pa.bool_())).select([0, 1, 2, 3])
 
     return both.select("h1", "h2", "g1", "g2", "line", "other").mapInArrow(run, "h1 long, h2 long, g1 long, g2 long")
 

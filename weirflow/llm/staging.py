@@ -1,41 +1,21 @@
-"""Tables that cut lineage: written once to the folder all executors share, then read back."""
+"""Input tables, and tables that cut lineage."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of this process only where it is unset."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="weirflow-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return f"file://{_OWN[app]}"
-
+from ..sources.shared import discard, own_path, shared_dir, stage
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read from there.
+__all__ = ["discard", "own_path", "shared_dir", "stage", "table"]
 
-    A lost executor then costs a read, not the work above; every later use sees the same
-    rows, also where they came from an expression that differs between runs.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weirflow-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+#: An input with fewer bytes a core than this may lie in fewer row groups than there are cores.
+SMALL = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the corpus. One that is small for the cluster is dealt over all its cores, as its
+    few row groups would else keep as many cores busy and no more; others are read as they lie."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SMALL else df

@@ -8,7 +8,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, product
 from pathlib import Path
 
 import numpy as np
@@ -23,6 +23,10 @@ REMEMBERED = 1_200_000
 LONGEST = 48
 #: White space for Python's patterns, but not for the tokenizers'.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: White space that fragments may begin with.
+_SPACES = " \t\n\r\x0b\x0c"
+#: A character of each kind that splitting patterns tell apart: fixed values.
+_KINDS = ("a", "s", "Z", "é", "à", "漢", "1", "²", "'", ".", "-", "_", " ", "\n", "\t", "\u00a0", "\u3000", "😀")
 _LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 
 
@@ -38,12 +42,18 @@ class Fragments:
     """Encodes texts by independent fragments.
 
     ``certain[a, b]`` says that bytes a, b stand next to each other inside no token, so no
-    merge ever crosses that place. Cuts are made at such places, where moreover the splitting
-    pattern of the tokenizer begins a new match whatever stands before: between anything and
-    white space, and between an ASCII letter and those ASCII signs for which the vocabulary has
-    no pair with any such letter. Fragments are then encoded alone, each distinct one
-    once, and their ids put together. A tokenizer that drops white space gets the words between
-    it, no further cuts; where it lower-cases, A-Z are lower-cased first.
+    merge ever crosses that place. Every cut is made at such a pair: between a character other
+    than white space and one of the ASCII white space, where the pair of the one's last byte
+    and the other is certain, and between an ASCII letter and those ASCII signs that are
+    certain after every letter. Where the pair isn't certain the text goes on in one fragment.
+
+    A cut must also be one for the tokenizer's own splitting into words, which the table can't
+    tell. ``check`` therefore compares fragments with whole texts, when a vocabulary is loaded,
+    on all short texts over a character of each kind, and refuses a vocabulary that differs.
+
+    Fragments are encoded alone, each distinct one once, and their ids put together. A tokenizer
+    that drops white space gets the words between it, no further cuts; where it lower-cases, A-Z
+    are lower-cased first.
     """
 
     def __init__(self, text: str, keep_spaces: bool):
@@ -58,15 +68,51 @@ class Fragments:
         self.certain = self.pairs(self.tokens, {t["id"] for t in told["added_tokens"]})
         self.keep_spaces = keep_spaces
         self.lower = "Lowercase" in json.dumps(told["normalizer"])
-        letters = np.array([c for c in range(128) if chr(c).isalpha()])
-        signs = [c for c in range(33, 127) if not chr(c).isalnum() and self.certain[letters, c].all()]
-        sign = "[" + re.escape("".join(map(chr, signs))) + "]"
-        # signs up to the next white space go together: no cut is needed inside them
-        body = rf"{_LETTER}*[A-Za-z](?={sign})|{sign}+(?!\S)|\S+" if signs else r"\S+"
-        self.pattern = re.compile(rf"\s*(?:{body})|\s+")
+        self.pattern = self.cuts()
         self.known: dict[str, bytes] = {}
         self.blob = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
         self.sizes = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        self.check()
+
+    def cuts(self) -> re.Pattern:
+        """A pattern whose matches are the fragments of a text."""
+        letters = np.array([c for c in range(128) if chr(c).isalpha()])
+        signs = [c for c in range(33, 127) if not chr(c).isalnum() and self.certain[letters, c].all()]
+        # characters that end a fragment before white space, by their last byte
+        ends = self.certain[:, [ord(c) for c in _SPACES]].all(axis=1)
+        ascii_ends = [c for c in range(33, 127) if ends[c]]
+        wide = "".join(f"{chr(c)}-{chr(c + n - 1)}" for c, n in self._runs(ends))
+        end = "[" + re.escape("".join(map(chr, ascii_ends))) + wide + "]"
+        space, word = f"[{_SPACES}]", f"[^{_SPACES}]+"
+        goes_on = rf"(?:(?<!{end}){space}+{word})*" if ascii_ends or wide else rf"(?:{space}+{word})*"
+        body = word + goes_on
+        if signs:
+            sign = "[" + re.escape("".join(map(chr, signs))) + "]"
+            # signs up to the next white space go together: no cut is needed inside them
+            alone = rf"{sign}+(?:(?<={end})(?={space})|\Z)" if ascii_ends else rf"{sign}+\Z"
+            body = rf"{_LETTER}*[A-Za-z](?={sign})|{alone}|{body}"
+        return re.compile(rf"{space}*(?:{body})|{space}+")
+
+    @staticmethod
+    def _runs(ends: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of two-byte and three-byte characters, surrogates aside, whose last byte is an end."""
+        out: list[tuple[int, int]] = []
+        for low in [b for b in range(0x80, 0xC0) if ends[b]]:
+            if out and out[-1][0] + out[-1][1] == low:
+                out[-1] = (out[-1][0], out[-1][1] + 1)
+            else:
+                out.append((low, 1))
+        return [(at + first - 0x80, n) for at in range(0x80, 0x10000, 64) if not 0xD800 <= at < 0xE000 for first, n in out]
+
+    def check(self) -> None:
+        """Raises if fragments and whole texts give different ids on any short text over ``_KINDS``."""
+        short = ["".join(t) for n in (2, 3) for t in product(_KINDS, repeat=n)]
+        short += [a + b + c + d for a in ("a", "é", ".", " ") for b in _KINDS for c in _KINDS for d in ("a", "1", "s", " ")]
+        whole = self.tokenizer.encode_batch_fast(short, add_special_tokens=False)
+        for text, ids, mine in zip(short, whole, self.encode(short), strict=True):
+            if ids.ids != mine.tolist():
+                raise ValueError(f"cuts in {text!r} change its ids: the vocabulary splits texts in another way")
+        self.known.clear()
 
     @staticmethod
     def bytes_of(vocab: dict[str, int], added: list[dict]) -> list[bytes]:
