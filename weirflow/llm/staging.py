@@ -17,5 +17,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     few row groups would else keep as many cores busy and no more; others are read as they lie."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SMALL else df
