@@ -50,6 +50,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def handed_on(staged: DataFrame, df: DataFrame) -> DataFrame:
+    """``df``, which reads what ``staged`` does and takes over its files."""
+    if path := _PATHS.pop(staged, None):
+        _PATHS[df] = path
+    return df
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete the files of staged tables that nothing reads any more; other DataFrames are left alone."""
     for df in staged:
