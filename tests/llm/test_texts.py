@@ -365,6 +365,145 @@ def test_surrogates_of_all_written_forms(spark):
     assert [x.split(" ")[0] for x in got[1]] == ["Mr", "Herr", "Herr", "Mr.", "Mrs", "Frau", "Mr", "Mr"]
 
 
+def test_parts_of_names(spark):
+    """Names with and without a title, by either word, titles that tell no gender, mail of one domain."""
+    texts = [
+        "Mr Anton Weber | Anton Weber | Weber | Anton | Webers | Dr Lisa Kern | Frau Kern | Herr Dr. Anton Weber",
+        "Kern | Frau Lisa Kern | Dr. Lisa Kern | Lisa | Prof. Hans-Peter Müller | Müller | Hans-Peter",
+        "bob@acme.com | ann@acme.com | ANN@Acme.com | bob@other.org",
+        "Weber | Anton Weber | nobody with a title",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text.split(" | ") for r in pii.pseudonymise(rows, "k").collect()}
+    whole = got[0][1]
+    assert got[0][0] == f"Mr {whole}" and got[0][7] == f"Herr Dr. {whole}"
+    assert got[0][2:5] == [whole.split()[1], whole.split()[0], "Webers"]
+    kern = got[0][5].removeprefix("Dr ")
+    assert got[0][6] == f"Frau {kern.split()[1]}" and kern != "Lisa Kern"
+    lisa = got[1][1].removeprefix("Frau ")
+    assert got[1][0] == lisa.split()[1] and got[1][2] == f"Dr. {lisa}" and got[1][3] == lisa.split()[0] and lisa.endswith("la")
+    hans = got[1][4].removeprefix("Prof. ")
+    assert hans.split() == [got[1][6], got[1][5]] and "Müller" not in hans
+    local, domain = zip(*(x.split("@") for x in got[2]), strict=True)
+    assert domain[0] == domain[1] == domain[2] != domain[3] and local[1] == local[2].lower() and local[0] != "bob"
+    assert got[3] == texts[3].split(" | ")
+
+
+def plain_matches(text):
+    """All matches by the patterns, read by another engine; titles' names are looked for again by their words."""
+    import regex
+
+    pattern = pii.PATTERN.replace("[\\w", "[A-Za-z0-9_").replace("\\w", "[A-Za-z0-9_]")
+    first = [m.group() for m in regex.finditer(pattern, text)]
+    names = [regex.sub(f"^{pii._TITLES}", "", m) for m in first if regex.match(f"{pii._TITLES}", m)]
+    if not names:
+        return first
+    known = "|".join(regex.escape(x) for x in sorted({*names, *(w for n in names for w in n.split(" ") if not w.endswith("."))}, key=len, reverse=True))
+    return [m.group() for m in regex.finditer(rf"{pattern}|(?<![\p{{L}}\p{{N}}_])(?:{known})(?![\p{{L}}\p{{N}}_])", text)]
+
+
+def luhn(digits):
+    return sum(int(d) if i % 2 == 0 else int(d) * 2 - 9 * (int(d) > 4) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_surrogates_against_brute_force(spark):
+    """Random texts: what is found, and one surrogate for each entity and one entity for each surrogate."""
+    rng = random.Random(21)
+    pick = rng.choice
+    digits = lambda n: "".join(pick("0123456789") for _ in range(n))
+    first, last = ["Anton", "Lisa", "Zoë", "Jean-Luc", "P."], ["Weber", "Kern", "O’Neil", "Šk", "McBraun"]
+
+    def item():
+        kind = rng.randrange(9)
+        if kind == 0:
+            return f"{pick(['Mr', 'Mrs', 'Dr.', 'Herr', 'Frau Dr.', 'Señora'])} {pick([f'{pick(first)} {pick(last)}', pick(last)])}"
+        if kind == 1:
+            return pick([f"{pick(first)} {pick(last)}", pick(last), pick(first), "Weberei"])
+        if kind == 2:
+            return f"{pick('abXY')}{digits(2)}@{pick(['a.com', 'B.org', 'x.y.de'])}"
+        if kind == 3:
+            return pick([digits(16), f"4111 1111 1111 {digits(4)}", digits(12)])
+        if kind == 4:
+            return f"{rng.randrange(300)}.{rng.randrange(300)}.{rng.randrange(30)}.{rng.randrange(3)}"
+        if kind == 5:
+            return pick([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"+49 {digits(2)} {digits(4)} {digits(3)}", f"({digits(3)}) {digits(3)}-{digits(4)}"])
+        if kind == 6:
+            return f"{digits(3)}-{digits(2)}-{digits(4)}"
+        return pick(["plain words", "x1.2.3.4", "12-34", "漢字", "", "+", "@"])
+
+    texts = [" | ".join(item() for _ in range(rng.randrange(12))) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t, 1, "z") for i, t in enumerate(texts)] * 2, "doc_id long, text string, _rid int, _new string")
+    out = pii.pseudonymise(docs, "k", entities=True)
+    assert out.columns == [*docs.columns, "n_entities", "entities"]
+    rows = out.collect()
+    assert len(rows) == 800
+    forward, backward = {}, {}
+    for r in rows:
+        before, after = texts[r.doc_id].split(" | "), r.text.split(" | ")
+        found = plain_matches(texts[r.doc_id])
+        assert [e.match for e in r.entities] == found
+        assert r.n_entities == sum(e.kind is not None for e in r.entities) == sum(not (m[0].isdigit() and re.fullmatch(r"\d{13,19}|\d{4}( \d{4}){3}", m)) or luhn(re.sub(r"\D", "", m)) for m in found)
+        assert len(before) == len(after)
+        kinds = iter(r.entities)
+        for a, b in zip(before, after, strict=True):
+            if a not in found:
+                # no match, or one whose words are parts of names
+                assert len(a.split(" ")) == len(b.split(" "))
+                for x, y in zip(a.split(" "), b.split(" "), strict=True):
+                    if x and x in found:
+                        assert next(kinds).match == x != y
+                    else:
+                        assert x == y
+                continue
+            e = next(kinds)
+            assert e.match == a and (a == b) == (e.kind is None)
+            if e.kind in ("email", "ipv4"):
+                pair = (e.kind, a.lower()), b.lower()
+            elif e.kind in ("phone", "ssn", "card"):
+                pair = (e.kind, a[0] == "+", re.sub(r"\D", "", a)), re.sub(r"\D", "", b)
+                assert re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) and (e.kind != "card" or luhn(pair[1]))
+            elif e.kind == "name":
+                title = re.match(pii._TITLES, a)
+                title = title.group() if title else ""
+                assert b.startswith(title)
+                x, y = a[len(title) :], b[len(title) :]
+                assert len(x.split(" ")) == len(y.split(" "))
+                if " " not in x:
+                    continue
+                pair = (e.kind, e.canon), y
+            else:
+                continue
+            assert forward.setdefault(pair[0], pair[1]) == pair[1]
+            assert backward.setdefault((pair[0][0], pair[1]), pair[0]) == pair[0]
+    assert not {x for k, x in backward if k in ("email", "ipv4")} & {k[1] for k in forward if k[0] in ("email", "ipv4")}
+
+
+def test_short_formats_do_not_run_out(spark):
+    """More one-letter names at a domain, and one-word names, than the first attempt can tell apart."""
+    rows = [(i, f"{c}@x.org") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    assert len(set(out)) == len(rows)
+
+
+def test_key_comes_from_configuration(spark, monkeypatch):
+    monkeypatch.delenv("WEIRFLOW_SURROGATE_KEY", raising=False)
+    assert pii.key_of(spark) != pii.key_of(spark)
+    monkeypatch.setenv("WEIRFLOW_SURROGATE_KEY", "told")
+    assert pii.key_of(spark) == "told"
+
+
+def test_surrogates_odd_input(spark):
+    long = "word " * 60_000 + "Mr Anton Weber " + "x" * 100_000
+    rows = [(1, None), (2, ""), (3, long), (4, "a@b.org"), (4, "a@b.org"), (None, "Mr Weber")]
+    docs = spark.createDataFrame([(*r, 1, "q", None) for r in rows], "doc_id long, text string, _rid int, entities string, _found string")
+    got = pii.pseudonymise(docs, "k").collect()
+    assert sorted(r.n_entities for r in got) == [0, 0, 1, 1, 1, 1]
+    assert len({r.text for r in got if r.doc_id == 4}) == 1
+    whole = next(r.text for r in got if r.doc_id == 3)
+    assert whole.startswith("word " * 60_000 + "Mr ") and whole.endswith(" " + "x" * 100_000) and "Anton" not in whole
+    assert pii.pseudonymise(docs.limit(0), "k").collect() == []
+
+
 def test_clashing_surrogates_are_told_apart(spark, monkeypatch):
     """With a stream so poor that addresses clash, each still gets its own surrogate, by either way of applying them."""
     poor = lambda key, kind, canon, attempt: F.rpad(F.concat(F.substring(F.sha2(F.concat(canon, attempt.cast("string")), 256), 1, 2), F.lit("0" * 6)), 128, "0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import discard, handed_on, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         found = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (found.n, found.h) == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return handed_on(now, now.toDF("node", "root"))
         before = (found.n, found.h)
-        now = stage(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        last, now = now, stage(_small_star(_large_star(now).distinct()).distinct(), "edges")
+        discard(last)

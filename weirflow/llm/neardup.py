@@ -11,14 +11,16 @@ a band are candidates, and candidates are verified exactly: J_P of 0.8 or more i
 No group is ever expanded into all pairs. Documents of equal shingles are one node. Each
 bucket's members are compared with its leader, and connected components follow; then again
 with another leader, where members are still in different components. Only what is in
-different components after that is compared with each other, by blocks of a bucket (see
-``block_links``). All comparisons begin with a byte of each of 126 registers: pairs that agree in fewer than ``AGREEING`` of them, which
-happens to one linked pair in 100,000, are not verified. No other link between candidates is
-lost.
+different components after that is compared with each other, by blocks of a bucket, bounded in
+members and in shingles (see ``block_links``). Buckets are lists of node numbers; registers and
+shingles are joined to the pairs that need them. All comparisons begin with a byte of each of
+126 registers: pairs that agree in fewer than ``AGREEING`` of them, which happens to one linked
+pair in 100,000, are not verified. No other link between candidates is lost. Tables written on
+the way are deleted as soon as nothing reads them.
 
 Defined results for odd input: words are lower-cased and split at white space; a text of one
 to four words has one shingle, all of it; a null text, or one without a word, is a class of
-its own. Null ids are carried along and never name a class of others. Equal rows are members
+its own; very long texts are read whole. Null ids are carried along and never name a class of others. Equal rows are members
 of one class, of which one row is kept. An empty table gives an empty result. Only the id and
 text columns are read.
 """
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .fingerprints import bounded, without_rows
-from .staging import stage, table
+from .staging import discard, stage, table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -46,8 +48,8 @@ BANDS, ROWS = 25, 5
 WORD, PACKED, AGREEING = 7, 126, 82
 #: Times that buckets get new leaders before what is left is compared with each other.
 LEADERS = 2
-#: Members of a bucket that stand in one block; blocks meet in pairs.
-BLOCK = 1024
+#: Members of a bucket, and shingles of theirs, that stand in one block; blocks meet in pairs.
+BLOCK, HELD = 1024, 1 << 21
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -130,8 +132,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1.0 / (above / cx + below / cy)).sum())
 
 
-def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """Per row: number, id, fingerprint of the shingles in two words, band hashes, and the text."""
+def sketched(texts: DataFrame) -> DataFrame:
+    """Per row of (rid, doc_id, text): number, id, fingerprint of the shingles in two words, band hashes, a byte of each register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,19 +153,17 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
                 bands = mixed(bands + np.arange(BANDS, dtype=np.uint64) * _B).astype(np.int64)
                 low = (mixed(owner[:, :PACKED]) & np.uint64(255)).reshape(n, -1, WORD)
                 words = (low << (np.arange(WORD, dtype=np.uint64) * np.uint64(8))).sum(axis=2, dtype=np.uint64).astype(np.int64)
-                some = np.bincount(doc, minlength=n) > 0
+                n_items = np.bincount(doc, minlength=n)
                 pair = mixed(items + mixed(weights.astype(np.uint64))), mixed(items ^ mixed(weights.astype(np.uint64) + _C))
                 sums = [np.zeros(n, dtype=np.uint64) for _ in pair]
                 for s, p in zip(sums, pair, strict=True):
                     np.add.at(s, doc, mixed(p))
                 cols = [part.column(0), part.column(1)]
-                cols += [pa.array(s.astype(np.int64), pa.int64(), mask=~some) for s in sums]
-                cols += [pa.array([x if y else [] for x, y in zip(bands, some, strict=True)], pa.list_(pa.int64())), pa.array(list(words), pa.list_(pa.int64())), part.column(2)]
-                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "fp1", "fp2", "bands", "words", "text"])
+                cols += [pa.array(s.astype(np.int64), pa.int64(), mask=n_items == 0) for s in sums]
+                cols += [pa.array([x if y else [] for x, y in zip(bands, n_items, strict=True)], pa.list_(pa.int64())), pa.array(list(words), pa.list_(pa.int64())), pa.array(n_items, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "fp1", "fp2", "bands", "words", "n_items"])
 
-    rid = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
-    picked = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "rid long, doc_id long, fp1 long, fp2 long, bands array<long>, words array<long>, text string")
+    return texts.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, fp1 long, fp2 long, bands array<long>, words array<long>, n_items int")
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -192,10 +192,10 @@ def sets(texts: DataFrame) -> DataFrame:
     return texts.select("rid", "text").mapInArrow(run, "rid long, items array<long>, weights array<int>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Exact similarity of each pair (u, v) of nodes. A node's shingles are hashed once, however many pairs it is in."""
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) of nodes that are links, as a table. A node's shingles are hashed once, however many pairs it is in."""
     needed = stage(pairs.select(F.col("u").alias("rid")).union(pairs.select(F.col("v").alias("rid"))).distinct(), "needed")
-    own = stage(sets(texts.select("rid", "text").join(bounded(needed, needed.count()), "rid", "left_semi")), "own")
+    own = stage(sets(texts.join(bounded(needed, needed.count()), "rid", "left_semi")), "own")
     both = pairs.join(own.toDF("u", "items_u", "weights_u"), "u").join(own.toDF("v", "items_v", "weights_v"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,22 +208,32 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             sim = [similarity((part(0, i).view(np.uint64), part(1, i)), (part(2, i).view(np.uint64), part(3, i))) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim, pa.float64())], ["u", "v", "sim"])
 
-    return both.select("u", "v", "items_u", "weights_u", "items_v", "weights_v").mapInArrow(run, "u long, v long, sim double")
+    sim = both.select("u", "v", "items_u", "weights_u", "items_v", "weights_v").mapInArrow(run, "u long, v long, sim double")
+    out = stage(sim.where(F.col("sim") >= least).select("u", "v"), "links")
+    discard(needed, own)
+    return out
 
 
-def block_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (u, v) between members of one bucket in different components.
+def block_links(members: DataFrame, marks: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) between members (band, node, comp) of one bucket in different components, as a table.
 
-    A bucket is cut into blocks, and a task takes a pair of blocks, so it holds 2 * BLOCK
-    members at most. It compares registers as matrices and verifies what agrees, most alike
-    first; members that its own links have joined meanwhile aren't compared again. A pair is
-    looked at in the first band that both share.
+    A bucket is cut into blocks of about BLOCK members and HELD shingles at most, one member at
+    least, and a task takes a pair of blocks. It compares registers as matrices and verifies
+    what agrees, most alike first; members that its own links have joined meanwhile aren't
+    compared again. A pair is looked at in the first band that both share.
     """
-    blocks = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / (BLOCK * 0.9)).cast("int").alias("n_blocks"))
-    own = stage(sets(texts.select("rid", "text").join(members.select(F.col("node").alias("rid")).distinct(), "rid", "left_semi")), "own")
-    placed = members.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("n_blocks")).cast("int"))
+    nodes = stage(members.select("node").distinct(), "nodes")
+    n_nodes = nodes.count()
+    shingled = sets(texts.join(bounded(nodes.select(F.col("node").alias("rid")), n_nodes), "rid", "left_semi")).withColumnRenamed("rid", "node")
+    own = stage(shingled.join(marks.select("node", "bands", "words"), "node"), "own")
+    sized = members.join(bounded(own.select("node", F.size("items").alias("n_items")), n_nodes), "node")
+    # buckets of more than one block are few: each has hundreds of members, or very long ones
+    blocks = sized.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (BLOCK * 0.9)), F.ceil(F.sum(F.col("n_items").cast("long")) / HELD)).cast("int").alias("n_blocks"))
+    blocks = stage(blocks.where("n_blocks > 1"), "blocks")
+    placed = members.join(bounded(blocks, blocks.count()), "band", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("n_blocks")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = paired.join(own.withColumnRenamed("rid", "node"), "node").select("band", "i", "j", "node", "comp", "block", "bands", "words", "items", "weights")
+    rows = paired.join(own, "node").select("band", "i", "j", "node", "comp", "block", "bands", "words", "items", "weights")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         n = len(g)
@@ -258,36 +268,49 @@ def block_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame
                 out.append((node[x], node[y]))
         return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
 
-    return rows.groupBy("band", "i", "j").applyInPandas(run, "u long, v long")
+    out = stage(rows.groupBy("band", "i", "j").applyInPandas(run, "u long, v long"), "links")
+    discard(nodes, own, blocks)
+    return out
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, row_col: str | None = None) -> DataFrame:
     """Every row with its class (the least id in it), the size of the class, and whether it is the row that is kept.
 
-    ``row_col`` names a column that numbers the rows; it comes back as ``rid``.
+    ``row_col`` names a column that numbers the rows of a table; it comes back as ``rid``.
     """
-    rows = stage(sketched(docs, id_col, text_col, row_col), "sketches")
+    rid = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    texts = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if row_col is None:
+        texts = stage(texts, "texts")
+    rows = stage(sketched(texts), "sketches")
     same = stage(rows.groupBy("fp1", "fp2").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1 AND fp1 IS NOT NULL").select("fp1", "fp2", "node"), "same")
     nodes = rows.join(bounded(same, same.count()), ["fp1", "fp2"], "left").withColumn("node", F.coalesce("node", "rid"))
-    banded = nodes.where("node = rid").select("node", F.explode("bands").alias("band"), "bands", "words")
+    banded = nodes.where("node = rid").select("node", F.explode("bands").alias("band"))
     shared = stage(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "buckets")
     members = stage(banded.join(bounded(shared, shared.count()), "band").withColumn("comp", F.col("node")), "members")
+    marks = rows.select(F.col("rid").alias("node"), "bands", "words")
 
     found = members.select("node", F.col("comp").alias("root")).limit(0)
     for turn in range(LEADERS + 1):
         if turn < LEADERS:
-            lead = members.groupBy("band").agg(F.min_by(F.struct("node", "comp", "words"), F.xxhash64("node", F.lit(turn))).alias("y"))
-            met = members.alias("x").join(lead, "band").where((F.col("x.comp") != F.col("y.comp")) & alike(F.col("x.words"), F.col("y.words")))
-            pairs = met.select(F.col("y.node").alias("u"), F.col("x.node").alias("v"))
-            new = verified(stage(pairs.distinct(), "pairs"), rows).where(F.col("sim") >= least).select("u", "v")
+            lead = stage(members.groupBy("band").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("y")), "leaders")
+            met = members.alias("x").join(bounded(lead, lead.count()), "band").where(F.col("x.comp") != F.col("y.comp"))
+            pairs = stage(met.select(F.col("y.node").alias("u"), F.col("x.node").alias("v")).distinct(), "pairs")
+            leaders = stage(marks.select(F.col("node").alias("u"), F.col("words").alias("words_u")).join(pairs.select("u").distinct(), "u", "left_semi"), "marks")
+            marked = pairs.join(marks.select(F.col("node").alias("v"), "words"), "v").join(bounded(leaders, leaders.count()), "u")
+            likely = stage(marked.where(alike(F.col("words_u"), F.col("words"))).select("u", "v"), "likely")
+            new = verified(likely, texts, least)
+            discard(lead, pairs, leaders, likely)
         else:
-            new = block_links(members, rows, least)
-        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new))
+            new = block_links(members, marks, texts, least)
+        before, found = found, components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new))
+        discard(before, new)
         if turn == LEADERS:
             break
-        placed = members.select("band", "node", "bands", "words").join(bounded(found, found.count()), "node", "left").select("band", "node", "bands", "words", F.coalesce("root", "node").alias("comp"))
-        split = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-        members = stage(placed.join(split, "band", "left_semi"), "members")
+        placed = members.select("band", "node").join(bounded(found, found.count()), "node", "left").select("band", "node", F.coalesce("root", "node").alias("comp"))
+        split = stage(placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band"), "split")
+        before, members = members, stage(placed.join(bounded(split, split.count()), "band", "left_semi"), "members")
+        discard(before, split)
         if members.isEmpty():
             break
 
@@ -295,6 +318,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     labelled = stage(labelled.select("rid", "doc_id", "class"), "labels")
     named = labelled.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("class_size"))
     named = stage(named.where("class_size > 1").select("class", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first.rid").alias("kept_rid")), "classes")
+    discard(texts, rows, same, shared, members, found)
     out = labelled.join(bounded(named, named.count()), "class", "left")
     alone = F.col("class_size").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | (F.col("rid") == F.col("kept_rid"))).alias("kept"), "rid")

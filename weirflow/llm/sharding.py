@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,8 +97,9 @@ class SlotMap:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Add this version to the map's table; a version that is there is never rewritten."""
-        rows = [(self.version, self.shards, slot, shard, self.note) for slot, shard in enumerate(self.owner)]
-        spark.createDataFrame(rows, "version int, shards int, slot int, shard int, note string").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={self.version:08d}")
+        n = len(self.owner)
+        cols = {"version": pa.array([self.version] * n, pa.int32()), "shards": pa.array([self.shards] * n, pa.int32()), "slot": pa.array(range(n), pa.int32()), "shard": pa.array(self.owner, pa.int32()), "note": [self.note] * n}
+        spark.createDataFrame(pa.table(cols)).coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={self.version:08d}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
@@ -163,7 +165,7 @@ def assign(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_col: str =
     """
     spark = docs.sparkSession
     path = map_path or own_path(spark, "slot-map")
-    rows = stage(records(docs, id_col, text_col, slots), "slots")
+    rows = records(docs, id_col, text_col, slots)
     sizes, _ = slot_sizes(rows, slots)
     known = SlotMap.load(spark, path)
     if known is None:

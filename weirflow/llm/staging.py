@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.shared import discard, own_path, shared_dir, stage
+from ..sources.shared import discard, handed_on, own_path, shared_dir, stage
 
-__all__ = ["discard", "own_path", "shared_dir", "stage", "table"]
+__all__ = ["discard", "handed_on", "own_path", "shared_dir", "stage", "table"]
 
 #: An input with fewer bytes a core than this may lie in fewer row groups than there are cores.
 SMALL = 8 << 20
