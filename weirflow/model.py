@@ -21,6 +21,8 @@ OP_WINDOW_S = 7 * 24 * 3600
 OP_FIRST_USE_S = 5 * 60
 OP_SKEW_S = 2 * 60
 GROUP_WINDOW_MS = 10
+GROUP_EVENTS = 1024
+GROUP_QUEUE = 4096
 MAX_TTL_S = 600
 
 FRAME = T.StructType([
@@ -107,6 +109,20 @@ class IdempotencyConflict(FeedError):
     code = "idempotency_conflict"
 
 
+class Busy(FeedError):
+    """A bounded queue is full; nothing was taken."""
+
+    code = "busy"
+
+
+class DeadlineExceeded(FeedError):
+    code = "deadline_exceeded"
+
+
+class Cancelled(FeedError):
+    code = "cancelled"
+
+
 class StableKeyConflict(FeedError):
     code = "stable_key_conflict"
 

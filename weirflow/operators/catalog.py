@@ -35,6 +35,11 @@ def levels(catalog: DataFrame, fanout: int = CATALOG_FANOUT, height: int = 3) ->
     return reduce(DataFrame.unionByName, (level(k) for k in range(1, height + 1)))
 
 
+def right_spine(tree: DataFrame) -> DataFrame:
+    """The last node of each level, from which the next append goes on."""
+    return tree.groupBy("log", "level").agg(F.max_by(F.struct("node", "first", "last", "chunk_count"), "node").alias("n")).select("log", "level", "n.*")
+
+
 def integrity(stored: DataFrame, frames: DataFrame, chunk: int = 64) -> DataFrame:
     """Stored chunk figures against those of the frames."""
     from .feed import chunks

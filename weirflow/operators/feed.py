@@ -24,6 +24,23 @@ def running(df: DataFrame, key: str, order: list[str], bucket: Column, value: Co
     return out.withColumn(name, F.col("_base") + F.col("_inside")).drop("_bucket", "_value", "_inside", "_base")
 
 
+def preceding(df: DataFrame, key: str, order: list[str], bucket: Column, values: dict[str, str]) -> DataFrame:
+    """Values of the row before in each key, in two levels like ``running``: inside (key, bucket), and
+    for a bucket's first row from the last row of the bucket before. ``values`` names new columns
+    by those whose preceding value they hold; a key's first row has null."""
+    rows = df.withColumn("_bucket", bucket)
+    inside, over = Window.partitionBy(key, "_bucket").orderBy(*order), Window.partitionBy(key).orderBy("_bucket")
+    last = rows.groupBy(key, "_bucket").agg(F.max_by(F.struct(*values.values()), F.struct(*order)).alias("_last"))
+    base = last.select(F.col(key).alias("_key"), F.col("_bucket").alias("_at"), F.lag("_last").over(over).alias("_base"))
+    out = rows.withColumn("_nth", F.row_number().over(inside))
+    for name, value in values.items():
+        out = out.withColumn(name, F.lag(value).over(inside))
+    out = out.join(base, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_at")))
+    for name, value in values.items():
+        out = out.withColumn(name, F.when(F.col("_nth") == 1, F.col(f"_base.{value}")).otherwise(F.col(name)))
+    return out.drop("_bucket", "_nth", "_key", "_at", "_base")
+
+
 def assign_seq(df: DataFrame, key: str, order: list[str], bucket: Column, name: str = "seq") -> DataFrame:
     """Gapless numbers from 1 in each log."""
     return running(df, key, order, bucket, F.lit(1), name)
@@ -37,12 +54,7 @@ def assign_ranges(df: DataFrame, key: str, order: list[str], bucket: Column, n:
 
 def read_from(frames: DataFrame, start: int, trim: int = 0) -> DataFrame:
     """Frames from a position, in order. The floor is inclusive: it and all below are gone."""
-    return frames.where((F.col("seq") >= start) & (F.col("seq") > trim))
-
-
-def read_status(start: Column, trim: Column) -> Column:
-    """Reading from a trimmed position is an error with a place to resume."""
-    return F.when((trim > 0) & (start <= trim), F.concat(F.lit("trimmed:"), (trim + 1).cast("string"))).otherwise("ok")
+    return frames.where((F.col("seq") >= start) & (F.col("seq") > trim)).orderBy("log", "seq")
 
 
 def heads(frames: DataFrame, key: str = "log") -> DataFrame:
@@ -67,10 +79,10 @@ def status(frames: DataFrame, size: int = CHUNK) -> DataFrame:
     return chunks(frames, size).groupBy("log").agg(F.max("last").alias("head_seq"), F.count(F.lit(1)).alias("n_chunks"), F.max("last_at").alias("last_at"))
 
 
-def gaps(frames: DataFrame) -> DataFrame:
+def gaps(frames: DataFrame, width: int = 1 << 16) -> DataFrame:
     """Places where a number doesn't follow its predecessor."""
-    before = F.lag("seq").over(Window.partitionBy("log").orderBy("seq"))
-    return frames.select("log", "seq", before.alias("before")).where(F.coalesce(F.col("before"), F.lit(0)) + 1 != F.col("seq")).select("log", F.coalesce("before", F.lit(0)).alias("after_seq"), "seq")
+    seen = preceding(frames.select("log", "seq"), "log", ["seq"], F.floor(F.col("seq") / width), {"before": "seq"})
+    return seen.where(F.coalesce(F.col("before"), F.lit(0)) + 1 != F.col("seq")).select("log", F.coalesce("before", F.lit(0)).alias("after_seq"), "seq")
 
 
 def trim(frames: DataFrame, before: Column) -> DataFrame:
@@ -78,14 +90,3 @@ def trim(frames: DataFrame, before: Column) -> DataFrame:
     head = frames.groupBy("log").agg(F.max("seq").alias("head_seq"))
     floor = head.withColumn("floor", F.greatest(F.lit(0), F.least(before, F.col("head_seq"))))
     return frames.join(floor, "log").groupBy("log").agg(F.max("floor").alias("floor"), F.count_if(F.col("seq") > F.col("floor")).alias("surviving"), (F.max("floor") + 1).alias("resume_at"))
-
-
-def compact(frames: DataFrame, wal: Column) -> tuple[DataFrame, DataFrame]:
-    """M5: all chunks of the log's tail (``wal``) become one segment each; frames don't change.
-
-    Returns the frames with their new segment, and per log how many chunks were merged.
-    """
-    numbered = frames.withColumn("_wal", wal).withColumn("_chunk", F.floor((F.col("seq") - 1) / CHUNK))
-    merged = numbered.where("_wal").groupBy("log").agg(F.count_distinct("_chunk").alias("merged"))
-    merged = merged.withColumn("merged", F.when(F.col("merged") < 2, 0).otherwise(F.col("merged")))
-    return numbered.withColumn("segment", F.when(F.col("_wal"), F.lit("segment")).otherwise(F.concat(F.lit("chunk-"), F.col("_chunk")))).drop("_wal", "_chunk"), merged

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .feed import preceding
+
 
 def newest(commits: DataFrame, ref: str, n: int) -> DataFrame:
     """The last ``n`` commits of each ref, newest first, each with the ref's live target too."""
@@ -13,17 +15,16 @@ def newest(commits: DataFrame, ref: str, n: int) -> DataFrame:
     return ranked.withColumn("live_target", F.first("target").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def regressions(states: DataFrame, ref: str, order: list[str]) -> DataFrame:
-    """Observations in which generation or epoch fell."""
-    w = Window.partitionBy(ref).orderBy(*order)
-    seen = states.withColumn("generation_before", F.lag("generation").over(w)).withColumn("epoch_before", F.lag("epoch").over(w))
+def regressions(states: DataFrame, ref: str, order: list[str], bucket: Column) -> DataFrame:
+    """Observations in which generation or epoch fell; ``bucket`` as in ``feed.running``."""
+    seen = preceding(states, ref, order, bucket, {"generation_before": "generation", "epoch_before": "epoch"})
     return seen.where((F.col("generation") < F.col("generation_before")) | (F.col("epoch") < F.col("epoch_before")))
 
 
-def breaks(commits: DataFrame, ref: str) -> DataFrame:
+def breaks(commits: DataFrame, ref: str, width: int = 1 << 16) -> DataFrame:
     """Commits whose parent isn't the generation before."""
-    before = F.lag("generation", 1, 0).over(Window.partitionBy(ref).orderBy("generation"))
-    return commits.withColumn("parent", before).where(F.col("parent") + 1 != F.col("generation"))
+    seen = preceding(commits, ref, ["generation"], F.floor(F.col("generation") / width), {"parent": "generation"})
+    return seen.withColumn("parent", F.coalesce("parent", F.lit(0))).where(F.col("parent") + 1 != F.col("generation"))
 
 
 def consistency(refs: DataFrame, commits: DataFrame, ref: str) -> DataFrame:

@@ -40,7 +40,19 @@ def acknowledgements(submissions: DataFrame, admissions: DataFrame, on: list[str
 
 
 def recover(requests: DataFrame, admissions: DataFrame, identity: str = "identity") -> DataFrame:
-    """The commit that admitted an operation, whatever a cache says; another request
-    under the same identity is a conflict."""
+    """The commit that admitted an operation; another request under the same identity is a conflict."""
     found = requests.join(admissions.withColumnsRenamed({"request": "committed"}), identity, "left")
     return found.withColumn("outcome", F.when(F.col("committed").isNull(), "unknown").when(F.col("committed") == F.col("request"), "recovered").otherwise("conflict")).drop("committed")
+
+
+def cached(cache: DataFrame, commits: DataFrame, ref: str) -> DataFrame:
+    """Cached results (ref, generation, digest) that the canonical commit of that generation
+    bears out; any other falls through to ``recover``."""
+    real = commits.select(ref, "generation", F.col("digest").alias("_digest"))
+    found = cache.join(real, [ref, "generation"], "left")
+    return found.withColumn("valid", F.coalesce(F.col("digest") == F.col("_digest"), F.lit(False))).drop("_digest")
+
+
+def entry_count(entries: DataFrame, log: str, key: str) -> DataFrame:
+    """How many keys each log has ever admitted. Keys are made distinct first, so no task holds a log's keys."""
+    return entries.select(log, key).distinct().groupBy(log).agg(F.count(F.lit(1)).alias("n_entries"))

@@ -26,3 +26,11 @@ def summary(commits: DataFrame, key: str) -> DataFrame:
     span = (F.unix_micros(F.max("last_at").cast("timestamp")) - F.unix_micros(F.min("first_at").cast("timestamp"))) / 1e6
     out = commits.groupBy(key).agg(F.sum("events").alias("events"), F.count(F.lit(1)).alias("commits"), F.sum("conflicts").alias("conflicts"), span.alias("seconds"))
     return out.withColumn("mean_batch", F.round(F.col("events") / F.greatest("commits", F.lit(1)), 4)).withColumn("per_second", F.round(F.col("events") / F.greatest("seconds", F.lit(1e-6)), 6)).drop("seconds")
+
+
+def chaos_report(outcomes: DataFrame, key: str) -> DataFrame:
+    """What became of the operations (outcome) of a run under faults. A violation is an
+    acknowledged operation that the history lacks (kept is false)."""
+    one = lambda name: F.count_if(F.col("outcome") == name)
+    lost = F.count_if((F.col("outcome") == "acked") & ~F.col("kept"))
+    return outcomes.groupBy(key).agg(one("acked").alias("acked"), one("failed").alias("clean_failures"), one("fault").alias("faults"), one("ambiguous").alias("ambiguous"), lost.alias("violations"))

@@ -51,6 +51,12 @@ def candidates(objects: DataFrame, reached: DataFrame, now: Column, grace_days:
     return objects.join(reached.select("node"), "node", "left_anti").where(F.col("modified") <= now - F.make_dt_interval(F.lit(grace_days)))
 
 
+def first_names(found: DataFrame, n: int = 20) -> DataFrame:
+    """The first names for display, and how many more there are."""
+    total = found.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("more")).withColumn("_k", F.lit(1))
+    return found.select("node").orderBy("node").limit(n).withColumn("_k", F.lit(1)).join(total, "_k").drop("_k")
+
+
 def report(objects: DataFrame, reached: DataFrame, roots: int, now: Column, grace_days: int) -> DataFrame:
     """A10: the figures of a dry run; nothing is ever deleted."""
     marked = objects.join(reached.select("node", F.lit(True).alias("_r")).distinct(), "node", "left")

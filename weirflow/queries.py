@@ -383,7 +383,7 @@ def ref_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT ref, event_id, generation, generation_before FROM l WHERE generation < generation_before OR epoch < epoch_before""")
 def ref_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = commits(spark, sf_dir).withColumn("epoch", F.floor(F.col("generation") / 10)).withColumn("generation", F.when(F.col("event_id") % 41 == 0, F.col("generation") - 3).otherwise(F.col("generation")))
-    return history.regressions(seen, "ref", ["ts", "event_id"]).select("ref", "event_id", "generation", "generation_before")
+    return history.regressions(seen, "ref", ["ts", "event_id"], day()).select("ref", "event_id", "generation", "generation_before")
 
 
 @query(f"WITH {_COMMITS}, k AS (SELECT ref, generation, lag(generation, 1, 0) OVER (PARTITION BY ref ORDER BY generation) AS parent FROM commits WHERE event_id % 53 <> 0) SELECT ref, generation, parent FROM k WHERE parent + 1 <> generation")
@@ -418,20 +418,87 @@ def trim_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.trim(log(spark, sf_dir), F.expr("CAST(CASE log WHEN 'click' THEN 10 WHEN 'view' THEN 99999999 ELSE 150 END AS BIGINT)"))
 
 
-@query(f"WITH {_LOG} SELECT log, count(DISTINCT (seq - 1) // 64) FILTER (WHERE seq > 128) AS merged, CAST(0 AS BIGINT) AS changed FROM log GROUP BY log HAVING max(seq) > 192")
-def compact_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = log(spark, sf_dir).select("log", "seq", "at", "payload", "n_bytes")
-    after, merged = feed.compact(frames, F.col("seq") > 128)
-    after = after.select(*frames.columns)
-    differ = frames.exceptAll(after).unionAll(after.exceptAll(frames)).groupBy("log").agg(F.count(F.lit(1)).alias("changed"))
-    return merged.where("merged > 1").join(differ, "log", "left").select("log", "merged", F.coalesce("changed", F.lit(0)).alias("changed"))
+def _feeds(spark: SparkSession, name: str):
+    """Feeds under a folder of their own in the shared one."""
+    from .plans.feeds import Feeds
+    from .sources.commitlog import HadoopStore
+
+    root = own_path(spark, name)
+    return Feeds(spark, root, HadoopStore(spark, root))
+
+
+def _submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, in two feeds; event_id is the order."""
+    return events(spark, sf_dir).select(F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd").alias("log"), F.col("props").cast("binary").alias("payload"), F.col("event_id").alias("_order"), "event_id")
 
 
-@query(f"WITH {_LOG} SELECT log, count(*) AS frames, count(DISTINCT seq) AS numbers, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM log GROUP BY log")
+_SUBMITTED = """sub AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS log, props AS payload, event_id FROM events),
+    framed AS (SELECT log, row_number() OVER (PARTITION BY log ORDER BY event_id) AS seq, payload FROM sub)"""
+
+
+@query(f"WITH {_SUBMITTED} SELECT log, CAST(3 AS BIGINT) AS merged, count(*) AS frames, CAST(0 AS BIGINT) AS changed FROM framed GROUP BY log")
+def compact_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three commits of each feed, compacted; frames before and after are compared both ways."""
+    feeds, rows, out = _feeds(spark, "compact"), _submitted(spark, sf_dir), None
+    size = rows.agg(F.max("event_id")).first()[0] // 3 + 1
+    for name in ("even", "odd"):
+        for k in range(3):
+            feeds.append(name, f"op{k}", "w", rows.where((F.col("log") == name) & (F.floor(F.col("event_id") / size) == k)), f"r{k}", 3600, limit=0)
+        before = feeds.frames(name)
+        merged = feeds.compact(name, "compact")
+        after = feeds.frames(name)
+        differ = before.exceptAll(after).unionAll(after.exceptAll(before)).agg(F.count(F.lit(1)).alias("changed"))
+        one = after.agg(F.count(F.lit(1)).alias("frames")).withColumn("k", F.lit(1)).join(differ.withColumn("k", F.lit(1)), "k")
+        one = one.select(F.lit(name).alias("log"), F.lit(merged).cast("long").alias("merged"), "frames", "changed")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query(f"WITH {_SUBMITTED} SELECT log, count(*) AS frames, count(DISTINCT seq) AS numbers, CAST(sum(octet_length(encode(payload))) AS BIGINT) AS n_bytes, CAST(1 AS BIGINT) AS segments, CAST(1 AS BIGINT) AS chunks FROM framed GROUP BY log")
 def segments_union_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = log(spark, sf_dir).select("log", "seq", "n_bytes")
-    both = frames.where("seq <= 100").unionByName(frames.where("seq > 100"))
-    return both.groupBy("log").agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("seq").alias("numbers"), F.sum("n_bytes").alias("n_bytes"))
+    """A feed read over its segment and the chunk that came after compaction."""
+    feeds, rows, out = _feeds(spark, "segments"), _submitted(spark, sf_dir), None
+    size = rows.agg(F.max("event_id")).first()[0] // 3 + 1
+    for name in ("even", "odd"):
+        for k in range(3):
+            if k == 2:
+                feeds.compact(name)
+            feeds.append(name, f"op{k}", "w", rows.where((F.col("log") == name) & (F.floor(F.col("event_id") / size) == k)), f"r{k}", 3600, limit=0)
+        kinds = [f["kind"] for f in feeds.files(feeds.ref(name))]
+        one = feeds.read(name, 1).agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("seq").alias("numbers"), F.sum("n_bytes").alias("n_bytes"))
+        one = one.select(F.lit(name).alias("log"), "*", F.lit(kinds.count("segment")).cast("long").alias("segments"), F.lit(kinds.count("chunk")).cast("long").alias("chunks"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query(f"WITH {_CHUNK}, t AS (" + " UNION ALL ".join(f"SELECT log, chunk // {4**k} AS node, min(first) AS first, max(last) AS last, count(*) AS chunk_count, {k} AS level FROM chunk GROUP BY log, chunk // {4**k}" for k in (1, 2, 3)) + """)
+    SELECT log, level, node, first, last, chunk_count FROM t QUALIFY row_number() OVER (PARTITION BY log, level ORDER BY node DESC) = 1""")
+def catalog_right_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.right_spine(catalog.levels(chunks(spark, sf_dir), 4, 3))
+
+
+@query(f"""WITH {_COMMITS}, c AS (SELECT ref, generation, CASE WHEN event_id % 7 = 0 THEN 'stale' ELSE sha256(encode(target)) END AS digest FROM commits UNION ALL SELECT DISTINCT ref, CAST(99999999 AS BIGINT), 'none' FROM commits)
+    SELECT c.ref, c.generation, coalesce(c.digest = sha256(encode(k.target)), false) AS valid FROM c LEFT JOIN commits k ON c.ref = k.ref AND c.generation = k.generation""")
+def cached_result_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = commits(spark, sf_dir).withColumn("digest", F.sha2(F.col("target").cast("binary"), 256))
+    cache = rows.select("ref", "generation", F.when(F.col("event_id") % 7 == 0, "stale").otherwise(F.col("digest")).alias("digest"))
+    beyond = rows.select("ref").distinct().select("ref", F.lit(99999999).cast("long").alias("generation"), F.lit("none").alias("digest"))
+    return idempotency.cached(cache.unionByName(beyond), rows, "ref").select("ref", "generation", "valid")
+
+
+@query(f"WITH {_KEYED} SELECT log, count(DISTINCT sk) AS n_entries FROM keyed GROUP BY log")
+def index_entry_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idempotency.entry_count(keyed(spark, sf_dir), "log", "sk")
+
+
+_OUTCOME = "CASE WHEN event_id % 10 < 6 THEN 'acked' WHEN event_id % 10 = 6 THEN 'failed' WHEN event_id % 10 = 7 THEN 'ambiguous' ELSE 'fault' END"
+
+
+@query(f"""WITH o AS (SELECT event_type, {_OUTCOME} AS outcome, event_id % 17 <> 3 AS kept FROM events)
+    SELECT event_type, count(*) FILTER (WHERE outcome = 'acked') AS acked, count(*) FILTER (WHERE outcome = 'failed') AS clean_failures, count(*) FILTER (WHERE outcome = 'fault') AS faults,
+    count(*) FILTER (WHERE outcome = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE outcome = 'acked' AND NOT kept) AS violations FROM o GROUP BY event_type""")
+def chaos_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.chaos_report(events(spark, sf_dir).select("event_type", F.expr(_OUTCOME).alias("outcome"), (F.col("event_id") % 17 != 3).alias("kept")), "event_type")
 
 
 # Identity and objects
@@ -507,8 +574,24 @@ def object_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {_hmac('encode(text)')} AS digest, text FROM documents WHERE text = (SELECT text FROM documents WHERE doc_id = 7)")
 def blob_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).withColumn("digest", identity.keyed_digest(KEY, F.col("text").cast("binary")))
-    wanted = rows.where("doc_id = 7").select("digest")
-    return rows.join(wanted, "digest", "left_semi").select("digest", "text")
+    return blobs.get(rows, rows.where("doc_id = 7").first().digest).select("digest", "text")
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, octet_length(encode(text)) AS n FROM documents WHERE octet_length(encode(text)) <= 3000)
+    SELECT 't1' AS tenant, 'document' AS kind, 'doc/1' AS schema, {_domain('object', "encode('document')", "encode('doc/1')", 'encode(text)')} AS digest, min(doc_id) AS first_id, count(*) AS copies, CAST(any_value(n) AS BIGINT) AS plaintext_bytes
+    FROM d GROUP BY text""")
+def object_put_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blobs.put_object(documents(spark, sf_dir), KEY, "t1", "document", "doc/1", "text", "doc_id", 3000)
+
+
+_ENVELOPE = "CASE doc_id % 7 WHEN 0 THEN 't2' ELSE 't1' END AS tenant, CASE doc_id % 5 WHEN 0 THEN 'image' ELSE 'document' END AS kind, CASE doc_id % 3 WHEN 0 THEN 'doc/9' ELSE 'doc/1' END AS schema"
+
+
+@query(f"""WITH e AS (SELECT doc_id, {_ENVELOPE}, octet_length(encode(text)) AS n FROM documents)
+    SELECT doc_id, CASE WHEN tenant <> 't1' THEN 'tenant_mismatch' WHEN kind <> 'document' THEN 'unknown_kind' WHEN schema <> 'doc/1' THEN 'unknown_schema' WHEN n > 3000 THEN 'too_large' ELSE 'ok' END AS verdict FROM e""")
+def object_decodable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    envelopes = documents(spark, sf_dir).selectExpr("doc_id", *_ENVELOPE.split(", "), "octet_length(text) AS plaintext_bytes")
+    return blobs.decodable(envelopes, "t1", [("document", "doc/1")], 3000).select("doc_id", "verdict")
 
 
 @query(f"""WITH d AS (SELECT doc_id, source, {_hmac('encode(text)')} AS d FROM documents)
@@ -569,6 +652,12 @@ def sweep_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach.candidates(_orders(spark, sf_dir), _reached(spark, sf_dir), F.lit(_SWEEP_NOW).cast("timestamp_ntz"), 30)
 
 
+@query(f"""WITH RECURSIVE {_GRAPH}, c AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE 'o' || o_orderkey NOT IN (SELECT node FROM reached) AND o_orderdate <= TIMESTAMP '{_SWEEP_NOW}' - INTERVAL 30 DAY)
+    SELECT node, greatest((SELECT count(*) FROM c) - 20, 0) AS more FROM c ORDER BY node LIMIT 20""")
+def sweep_first_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reach.first_names(reach.candidates(_orders(spark, sf_dir), _reached(spark, sf_dir), F.lit(_SWEEP_NOW).cast("timestamp_ntz"), 30))
+
+
 @query(f"""WITH RECURSIVE {_GRAPH}, m AS (SELECT 'o' || o_orderkey NOT IN (SELECT node FROM reached) AS free, o_orderdate <= TIMESTAMP '{_SWEEP_NOW}' - INTERVAL 30 DAY AS old FROM orders)
     SELECT (SELECT count(*) FROM customer WHERE c_custkey % 40 = 1) AS refs_scanned, count(*) AS objects_scanned, (SELECT count(*) FROM reached) AS reachable, count(*) FILTER (WHERE free AND NOT old) AS in_grace, count(*) FILTER (WHERE free AND old) AS candidates, CAST(0 AS BIGINT) AS deleted FROM m""")
 def sweep_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -644,10 +733,22 @@ def _streamed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-@query(f'WITH {_LOG} SELECT log, seq, "at", payload FROM log WHERE seq > 3')
+@query(f"WITH {_SUBMITTED} SELECT log, seq, payload FROM framed WHERE seq > 3")
 def stream_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _streamed(spark, _stream(spark, sf_dir).select(F.col("event_type").alias("log"), F.col("ts").alias("at"), F.col("props").alias("payload"), "event_id"), "follow")
-    return feed.read_from(feed.assign_seq(got, "log", ["at", "event_id"], day("at")), 4).select("log", "seq", "at", "payload")
+    """Two feeds of all events, in three commits each, followed as streams from number 4."""
+    from .streaming import follow
+
+    feeds, rows, at = _feeds(spark, "followed"), _submitted(spark, sf_dir), own_path(spark, "follow")
+    size = rows.agg(F.max("event_id")).first()[0] // 3 + 1
+    for name in ("even", "odd"):
+        for k in range(3):
+            feeds.append(name, f"op{k}", "w", rows.where((F.col("log") == name) & (F.floor(F.col("event_id") / size) == k)), f"r{k}", 3600, limit=0)
+
+        def sink(frames: DataFrame, number: int, name: str = name) -> None:
+            frames.select(F.lit(name).alias("log"), "seq", F.col("payload").cast("string").alias("payload")).write.mode("overwrite").parquet(f"{at}/out/{name}/{number}")
+
+        follow.follow_commits(spark, feeds.root, name, sink, f"{at}/checkpoint/{name}", 4).awaitTermination()
+    return spark.read.schema("log string, seq long, payload string").option("recursiveFileLookup", "true").parquet(f"{at}/out")
 
 
 @query(SQL["group_commit_batches"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.identity import keyed_digest
+from ..functions.identity import domain_hash, keyed_digest
 from ..model import ObjectTooLarge
 
 
@@ -21,6 +21,28 @@ def new_only(blobs: DataFrame, stored: DataFrame) -> DataFrame:
     return blobs.join(stored.select("digest"), "digest", "left_anti")
 
 
+def put_object(blobs: DataFrame, key: bytes, tenant: str, kind: str, schema: str, payload: str, order: str, cap: int) -> DataFrame:
+    """Typed objects in their envelopes, one of each digest. The type is part of what is
+    digested, so equal bytes of two types are two objects; what is beyond ``cap`` is refused."""
+    data = F.col(payload).cast("binary")
+    size = F.octet_length(data).cast("long")
+    digest = domain_hash(key, "object", F.lit(kind).cast("binary"), F.lit(schema).cast("binary"), data)
+    each = blobs.select(F.when(size <= cap, digest).alias("digest"), F.col(order), size.alias("plaintext_bytes"))
+    stored = each.where("digest IS NOT NULL").groupBy("digest").agg(F.min(order).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("plaintext_bytes").alias("plaintext_bytes"))
+    return stored.select(F.lit(tenant).alias("tenant"), F.lit(kind).alias("kind"), F.lit(schema).alias("schema"), "digest", "first_id", "copies", "plaintext_bytes")
+
+
+def decodable(objects: DataFrame, tenant: str, types: list[tuple[str, str]], cap: int) -> DataFrame:
+    """The verdict on envelopes (tenant, kind, schema, plaintext_bytes) before a payload is
+    opened: whose it is, whether the reader knows kind and schema, and the size, in this order."""
+    known = F.lit(False)
+    for kind, schema in types:
+        known = known | ((F.col("kind") == kind) & (F.col("schema") == schema))
+    foreign, unknown = ~F.col("tenant").eqNullSafe(F.lit(tenant)), ~F.col("kind").isin(*{k for k, _ in types})
+    verdict = F.when(foreign, "tenant_mismatch").when(unknown, "unknown_kind").when(~known, "unknown_schema").when(F.col("plaintext_bytes") > cap, "too_large").otherwise("ok")
+    return objects.withColumn("verdict", verdict)
+
+
 def verify(objects: DataFrame, key: bytes, cap: int | None = None) -> DataFrame:
     """The verdict on each stored object (digest, payload, plaintext_bytes), in
     the order in which a reader must look: size cap, stated size, digest."""
