@@ -11,7 +11,7 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_PATHS: weakref.WeakKeyDictionary[DataFrame, tuple[str, ...]] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,21 +46,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path, schema = own_path(df.sparkSession, name), df.schema
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
-    _PATHS[out] = path
+    _PATHS[out] = (path,)
     return out
 
 
-def handed_on(staged: DataFrame, df: DataFrame) -> DataFrame:
-    """``df``, which reads what ``staged`` does and takes over its files."""
-    if path := _PATHS.pop(staged, None):
-        _PATHS[df] = path
+def handed_on(df: DataFrame, *staged: DataFrame) -> DataFrame:
+    """``df``, which reads what ``staged`` do and takes over their files."""
+    paths = [p for s in staged for p in _PATHS.pop(s, ())]
+    _PATHS[df] = (*_PATHS.get(df, ()), *paths)
     return df
 
 
 def discard(*staged: DataFrame) -> None:
     """Delete the files of staged tables that nothing reads any more; other DataFrames are left alone."""
     for df in staged:
-        if path := _PATHS.pop(df, None):
+        for path in _PATHS.pop(df, ()):
             spark = df.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
