@@ -72,7 +72,7 @@ def variety(run: str) -> int:
 
 def hot_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     """Joined windows of ``run`` whose entropy is at least ``bits``; counts change by one character at a time."""
-    weight = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    weight = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]  # one comes in before one goes out
     enough = (math.log2(window) - bits) * window + 1e-9
     counts: dict[str, int] = {}
     total = 0.0
