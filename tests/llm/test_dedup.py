@@ -209,7 +209,7 @@ def test_banded_distance():
             assert lines.within(a, b, tau) == (distance(a, b) <= tau)
 
 
-def brute_lines(rows):
+def brute_lines(rows, near=lambda x, y, edits: distance(x, y) <= edits):
     occurrences = sorted((-1 if i is None else i, k, x) for i, t in rows for k, x in enumerate((t or "").split("\n")) if x)
     first, links, union = {}, Counter(), Union()
     for i, k, x in occurrences:
@@ -219,7 +219,7 @@ def brute_lines(rows):
     for n, x in enumerate(every):
         for y in every[n + 1 :]:
             edits = min(2, max(len(x), len(y)) // 6)
-            if abs(len(x) - len(y)) <= edits and distance(x, y) <= edits:
+            if abs(len(x) - len(y)) <= edits and near(x, y, edits):
                 links[x] += 1
                 links[y] += 1
                 union.join(x, y)

@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         found = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (found.n, found.h) == before:
-            return handed_on(now, now.toDF("node", "root"))
+            return handed_on(now.toDF("node", "root"), now)
         before = (found.n, found.h)
         last, now = now, stage(_small_star(_large_star(now).distinct()).distinct(), "edges")
         discard(last)

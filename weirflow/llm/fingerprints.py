@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import stage, table
+from .staging import discard, handed_on, stage, table
 
 CHUNK = 512
 #: Primes below 2**31, and a base for each: fixed values.
@@ -162,11 +162,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     if not unlike.isEmpty():
         # texts that only share a fingerprint: their rows are told apart by digest
         marked = unlike.withColumn("clash", F.lit(True))
-        rows = rows.join(bounded(marked, unlike.count()), ["fp", "n_bytes"], "left").withColumn("fp", F.when(F.col("clash"), F.unhex("text_sha256")).otherwise(F.col("fp"))).drop("clash")
+        discard(repeated)
+        rows = handed_on(rows.join(bounded(marked, unlike.count()), ["fp", "n_bytes"], "left").withColumn("fp", F.when(F.col("clash"), F.unhex("text_sha256")).otherwise(F.col("fp"))).drop("clash"), rows, unlike)
         repeated = repeats(rows)
     joined = rows.join(bounded(repeated, repeated.count()), ["fp", "n_bytes"], "left")
     alone = F.col("group_size").isNull()
-    return joined.select(
+    out = joined.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -174,6 +175,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
         "text_sha256",
         "rid",
     )
+    return handed_on(out, rows, repeated)
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,8 +189,10 @@ def without_rows(docs: DataFrame, find: Callable[[DataFrame, str], DataFrame]) -
     while row in docs.columns:
         row += "_"
     numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    gone = stage(find(numbered, row).where("NOT kept").select(F.col("rid").alias(row)), "gone")
-    return numbered.join(bounded(gone, gone.count()), row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = find(numbered, row)
+    gone = stage(found.where("NOT kept").select(F.col("rid").alias(row)), "gone")
+    discard(found)
+    return handed_on(numbered.join(bounded(gone, gone.count()), row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)), numbered, gone)
 
 
 def op6_polynomial_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .fingerprints import bounded, without_rows
-from .staging import discard, stage, table
+from .staging import discard, handed_on, stage, table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -321,7 +321,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     discard(texts, rows, same, shared, members, found)
     out = labelled.join(bounded(named, named.count()), "class", "left")
     alone = F.col("class_size").isNull()
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | (F.col("rid") == F.col("kept_rid"))).alias("kept"), "rid")
+    out = out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), (alone | (F.col("rid") == F.col("kept_rid"))).alias("kept"), "rid")
+    return handed_on(out, labelled, named)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
