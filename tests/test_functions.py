@@ -1,8 +1,10 @@
 import hashlib
 import hmac
 
+import pytest
 from pyspark.sql import functions as F
 
+from weirflow import model as M
 from weirflow.functions import checks, identity
 from weirflow.operators import folds, history, measure
 from weirflow.sources import blobs, bridge
@@ -37,8 +39,8 @@ def test_operation_ids(spark):
 
 
 def test_decimals_and_overflow(spark):
-    got = one(spark, *(identity.decimal_u64(F.lit(x)) for x in ("0", "10", "01", "-1", "", "18446744073709551615")))
-    assert got == (0, 10, None, None, None, None)
+    got = one(spark, *(identity.decimal_u64(F.lit(x)) for x in ("0", "10", "01", "-1", "", "18446744073709551615", "18446744073709551616")))
+    assert got == (0, 10, None, None, None, 2**64 - 1, None)
 
 
 def test_validators(spark):
@@ -59,6 +61,43 @@ def test_group_commit_may_overshoot(spark):
     assert got == {1: 1, 2: 1, 3: 2, 4: 3}
 
 
+def test_ranks_of_skewed_values(spark):
+    """Ties, nulls, a key with one value, a key without any; against sorting."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    values = [("a", rng.choice([None, -1.5, 0.0, rng.random(), rng.random() ** 9])) for _ in range(500)] + [("b", 7.0), ("c", None)]
+    df = spark.createDataFrame(values, "k string, v double")
+    real = {k: sorted(v for x, v in values if x == k and v is not None) for k in "ab"}
+    for got, at in ((measure.lower_ranks(df, "k", "v", {"p": 0.5, "q": 0.99}), lambda n, p: math.floor((n - 1) * p)), (measure.upper_ranks(df, "k", "v", {"p": 0.5, "q": 0.99}), lambda n, p: math.ceil(n * p) - 1)):
+        assert {r.k: (r.n, r.p, r.q) for r in got.collect()} == {k: (len(v), v[at(len(v), 0.5)], v[at(len(v), 0.99)]) for k, v in real.items()}
+    assert measure.lower_ranks(df.limit(0), "k", "v", {"p": 0.5}).collect() == []
+
+
+def test_key_paths_and_texts(spark):
+    key = b"k"
+    a, b, text, back = one(spark, identity.stable_path(key, F.lit(bytearray(b"x"))), identity.stable_path(key, F.lit(bytearray(b"y"))), identity.stable_key_text(F.lit(bytearray(b"\x01\xff"))), identity.parse_stable_key(F.lit("sk_01ff")))
+    assert a != b and a.startswith("hs2:") and text == "sk_01ff" and bytes(back) == b"\x01\xff"
+    assert 0 <= one(spark, identity.partition_of(F.lit(5), 16))[0] < 16
+
+
+def test_files_as_objects(spark, tmp_path):
+    """Put, get by digest, verify; a cap refuses before contents are read."""
+    (tmp_path / "in").mkdir()
+    for n, body in (("a", b"one"), ("b", b"three"), ("c", b"one")):
+        (tmp_path / "in" / n).write_bytes(body)
+    files = blobs.import_files(spark, str(tmp_path / "in"), 5)
+    objects = files.select(identity.keyed_digest(b"k", F.col("payload")).alias("digest"), "plaintext_bytes", "payload").dropDuplicates(["digest"])
+    blobs.write(objects, str(tmp_path / "objects"))
+    back = spark.read.parquet(str(tmp_path / "objects"))
+    wanted = objects.where("plaintext_bytes = 5").first().digest
+    assert [bytes(r.payload) for r in blobs.get(back, wanted).collect()] == [b"three"]
+    assert back.count() == 2 and {r.verdict for r in blobs.verify(back, b"k").collect()} == {"ok"}
+    with pytest.raises(M.ObjectTooLarge):
+        blobs.import_files(spark, str(tmp_path / "in"), 4)
+
+
 def test_rank_rules_differ(spark):
     df = spark.createDataFrame([("k", v) for v in range(1, 101)], "k string, v long")
     assert measure.lower_ranks(df, "k", "v", {"p": 0.99}).first().p == 99

@@ -150,8 +150,9 @@ def identity_kind(text: Column) -> Column:
 
 
 def decimal_u64(text: Column) -> Column:
-    """digits without a leading zero, up to the largest signed long; null otherwise."""
-    return F.when(text.rlike("^(0|[1-9][0-9]{0,19})$"), text.try_cast("long"))
+    """digits without a leading zero, up to the largest unsigned 64-bit number; null otherwise."""
+    n = F.when(text.rlike("^(0|[1-9][0-9]{0,19})$"), text.try_cast("decimal(20,0)"))
+    return F.when(n <= F.lit("18446744073709551615").cast("decimal(20,0)"), n)
 
 
 def next_seq(seq: Column) -> Column:
@@ -171,3 +172,8 @@ def ref_key(tenant: Column, name: Column) -> Column:
 
 def intent_key(tenant: Column, identity: Column) -> Column:
     return F.concat_ws("/", F.lit("ops"), tenant, intent_shard(identity), identity)
+
+
+def partition_of(key: Column, n: int) -> Column:
+    """The partition of a key among ``n``, by the first 32 bits of its hash."""
+    return F.pmod(F.conv(F.substring(F.sha2(as_bytes(key.cast("string")), 256), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")

@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .feed import running
 
-def lower_ranks(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """The value at index floor((n - 1) * q) of the sorted values. Equal values are counted
-    first, so what is sorted is one row per key and distinct value."""
+#: Stretches of the range of values that are sorted apart.
+STRETCHES = 64
+
+
+def _at_ranks(df: DataFrame, key: str, value: str, index: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """For each key how many values it has, and its values at some places of their order, from 0.
+
+    Equal values are counted first. Places follow from running counts in two levels: inside
+    stretches of the range of values, which a sketch of all values cuts, and over the stretches'
+    totals. So a key's distinct values are sorted by as many tasks as there are stretches.
+    """
     counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(Window.partitionBy(key)))
-    picks = [F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) * q), F.col(value))).alias(name) for name, q in shares.items()]
-    return ranked.groupBy(key).agg(F.max("_all").alias("n"), *picks)
+    cuts = df.agg(F.percentile_approx(value, [k / STRETCHES for k in range(1, STRETCHES)], 1000)).first()[0] or []
+    stretch = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(value))) if cuts else F.lit(0)
+    ranked = running(counted, key, [value], stretch, F.col("_n"), "_upto")
+    total = counted.groupBy(key).agg(F.sum("_n").alias("n"))
+    picks = [F.min(F.when(F.col("_upto") > at(F.col("n")), F.col(value))).alias(name) for name, at in index.items()]
+    return ranked.join(total, key).groupBy(key).agg(F.max("n").alias("n"), *picks)
+
+
+def lower_ranks(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """The value at index floor((n - 1) * q) of the sorted values."""
+    return _at_ranks(df, key, value, {name: lambda n, q=q: F.floor((n - 1) * q) for name, q in shares.items()})
 
 
 def upper_ranks(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
     """The value at index ceil(n * p) - 1, another rule than A6."""
-    return df.groupBy(key).agg(F.count(value).alias("n"), *(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{value}`)").alias(name) for name, q in shares.items()))
+    return _at_ranks(df, key, value, {name: lambda n, p=p: F.greatest(F.ceil(n * p) - 1, F.lit(0)) for name, p in shares.items()})
 
 
 def summary(commits: DataFrame, key: str) -> DataFrame:

@@ -705,16 +705,13 @@ def seek_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, CAST(CAST('0x' || substr(sha256(encode(CAST(user_id AS VARCHAR))), 1, 8) AS BIGINT) % 16 AS INTEGER) AS part FROM events")
 def partition_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.conv(F.substring(F.sha2(F.col("user_id").cast("string").cast("binary"), 256), 1, 8), 16, 10).cast("long")
-    return events(spark, sf_dir).select("event_id", F.pmod(h, F.lit(16)).cast("int").alias("part"))
+    return events(spark, sf_dir).select("event_id", identity.partition_of(F.col("user_id"), 16).alias("part"))
 
 
 @query("""WITH c AS (SELECT doc_id, text, unnest(generate_series(0, (greatest(length(text), 1) - 1) // 1000)) AS piece FROM documents)
     SELECT doc_id, piece, sha256(encode(substr(text, piece * 1000 + 1, 1000))) AS digest FROM c""")
 def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = F.floor((F.greatest(F.length("text"), F.lit(1)) - 1) / 1000)
-    pieces = documents(spark, sf_dir).select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), count)).alias("piece"))
-    return pieces.select("doc_id", "piece", F.sha2(F.substring("text", (F.col("piece") * 1000 + 1).cast("int"), F.lit(1000)).cast("binary"), 256).alias("digest"))
+    return blobs.pieces(documents(spark, sf_dir), "text").select("doc_id", "piece", "digest")
 
 
 # Streams

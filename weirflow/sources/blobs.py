@@ -68,3 +68,11 @@ def import_files(spark: SparkSession, path: str, cap: int | None = None) -> Data
     if cap is not None and not files.drop("content").where(F.col("length") > cap).isEmpty():
         raise ObjectTooLarge(f"a file under {path} has more than {cap} bytes")
     return files.select(F.col("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("plaintext_bytes"), F.col("content").alias("payload"))
+
+
+def pieces(files: DataFrame, text: str, size: int = 1000) -> DataFrame:
+    """A row for each piece of ``size`` characters of a text, with its number and digest; an empty text has one."""
+    count = F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / size)
+    rows = files.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), count)))
+    part = F.substring(F.col(text), (F.col("piece") * size + 1).cast("int"), F.lit(size))
+    return rows.withColumn("digest", F.sha2(part.cast("binary"), 256))

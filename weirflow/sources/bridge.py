@@ -52,7 +52,7 @@ def parse(lines: DataFrame, line: str = "line") -> DataFrame:
         .otherwise("ok")
     )
     out = rows.withColumn("id", F.coalesce("r.id", extract_id(F.col(line)))).withColumn("op", F.when(bad, None).otherwise(F.col("r.op"))).withColumn("status", status)
-    return out.withColumn("cursor", decimal_u64(F.col("r.cursor"))).withColumn("payload", F.unhex(payload)).withColumn("key", F.unhex("r.idempotency_key")).withColumn("log", F.col("r.log")).withColumn("max_events", F.col("r.max_events")).withColumn("max_bytes", F.col("r.max_bytes")).drop("r")
+    return out.withColumn("cursor", decimal_u64(F.col("r.cursor")).try_cast("long")).withColumn("payload", F.unhex(payload)).withColumn("key", F.unhex("r.idempotency_key")).withColumn("log", F.col("r.log")).withColumn("max_events", F.col("r.max_events")).withColumn("max_bytes", F.col("r.max_bytes")).drop("r")
 
 
 def wire(seq: Column, at: Column, payload: Column) -> list[Column]:
