@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weirflow import model as M
 from weirflow.functions import checks, identity
-from weirflow.operators import folds, history, measure
+from weirflow.operators import folds, history, holdings, measure
 from weirflow.sources import blobs, bridge
 
 
@@ -98,6 +98,15 @@ def test_files_as_objects(spark, tmp_path):
         blobs.import_files(spark, str(tmp_path / "in"), 4)
 
 
+def test_names_and_forks(spark):
+    refs = spark.createDataFrame([("a", "b", None), ("b", None, "t"), ("c", "gone", None), ("x", "y", None), ("y", "x", None)], "ref string, symbol string, target string")
+    got = {r.ref: (r.target, r.hops, r.status) for r in holdings.resolve(refs).collect()}
+    assert got == {"a": ("t", 1, "ok"), "b": ("t", 0, "ok"), "c": (None, 1, "dangling"), "x": (None, 4, "too_deep"), "y": (None, 4, "too_deep")}
+    writes = spark.createDataFrame([(0, 1, 1, "a"), (0, 2, 2, "b"), (0, 1, 3, "c"), (1, 2, 4, None), (1, 3, 5, "d")], "volume int, block int, seq int, data string")
+    parent = holdings.blocks_at(writes.where("volume = 0"), F.lit(2))
+    assert sorted((r.block, r.data) for r in holdings.forked(parent, holdings.blocks_at(writes.where("volume = 1"), F.lit(9))).collect()) == [(1, "a"), (2, None), (3, "d")]
+
+
 def test_rank_rules_differ(spark):
     df = spark.createDataFrame([("k", v) for v in range(1, 101)], "k string, v long")
     assert measure.lower_ranks(df, "k", "v", {"p": 0.99}).first().p == 99

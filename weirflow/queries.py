@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import checks, identity
-from .operators import catalog, feed, folds, history, idempotency, measure, paging, reach
+from .operators import catalog, feed, folds, history, holdings, idempotency, measure, paging, reach
 from .sources import blobs
 from .sources.shared import own_path
 
@@ -614,8 +614,9 @@ def digest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach.digest_edges(events(spark, sf_dir).select("event_id", body.alias("body")), "event_id", "body")
 
 
-_GRAPH = """edges AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem
-    UNION ALL SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+_EDGES = """edges AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem
+    UNION ALL SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"""
+_GRAPH = f"""{_EDGES},
     reached AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey % 40 = 1 UNION SELECT e.dst FROM reached r JOIN edges e ON e.src = r.node)"""
 
 
@@ -714,6 +715,96 @@ def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blobs.pieces(documents(spark, sf_dir), "text").select("doc_id", "piece", "digest")
 
 
+@query(f"""WITH {_LOG}, w AS (SELECT event_type AS log, event_id + event_id % 2 AS event_id FROM events WHERE event_id % 7 = 0)
+    SELECT w.log, w.event_id, l.seq FROM w LEFT JOIN log l ON w.log = l.log AND w.event_id = l.event_id""")
+def event_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = events(spark, sf_dir).where("event_id % 7 = 0").select(F.col("event_type").alias("log"), (F.col("event_id") + F.col("event_id") % 2).alias("event_id"))
+    return holdings.by_id(log(spark, sf_dir), wanted, ["log", "event_id"])
+
+
+@query("""WITH RECURSIVE r AS (SELECT c_custkey AS ref, CASE WHEN c_custkey % 3 = 0 THEN c_custkey // 3 + CASE WHEN c_custkey % 11 = 0 THEN 100000000 ELSE 0 END END AS symbol, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS target FROM customer),
+    walk AS (SELECT ref, symbol AS nxt, target, 0 AS hops, true AS there FROM r
+        UNION ALL SELECT w.ref, r.symbol, r.target, w.hops + 1, r.ref IS NOT NULL FROM walk w LEFT JOIN r ON r.ref = w.nxt WHERE w.nxt IS NOT NULL AND w.there AND w.hops < 4)
+    SELECT ref, CASE WHEN there AND nxt IS NULL THEN target END AS target, hops, CASE WHEN NOT there THEN 'dangling' WHEN nxt IS NOT NULL THEN 'too_deep' ELSE 'ok' END AS status
+    FROM walk QUALIFY row_number() OVER (PARTITION BY ref ORDER BY hops DESC) = 1""")
+def symbolic_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    symbol = F.when(k % 3 == 0, F.floor(k / 3) + F.when(k % 11 == 0, 100_000_000).otherwise(0))
+    return holdings.resolve(spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("ref"), symbol.alias("symbol"), F.when(k % 3 != 0, F.col("c_name")).alias("target")))
+
+
+@query(f"WITH {_COMMITS} SELECT ref, max(generation) AS generation, max_by(target, generation) AS target FROM commits WHERE ts <= TIMESTAMP '{NOW}' GROUP BY ref")
+def release_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return holdings.release(commits(spark, sf_dir), "ref", F.lit(NOW).cast("timestamp_ntz"))
+
+
+_PINS = "SELECT 's' || s_suppkey AS node, CASE WHEN s_suppkey % 5 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * (s_suppkey % 40) END AS expires FROM supplier WHERE s_suppkey % 3 = 1"
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, pins AS ({_PINS}),
+    roots AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey % 400 = 1 UNION SELECT node FROM pins WHERE expires IS NULL OR expires > TIMESTAMP '{NOW}'),
+    reached AS (SELECT node FROM roots UNION SELECT e.dst FROM reached r JOIN edges e ON e.src = r.node) SELECT node FROM reached""")
+def pinned_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    expires = F.when(key % 5 != 0, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((key % 40).cast("int")))
+    pins = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 3 = 1").select(F.concat(F.lit("s"), key).alias("node"), expires.alias("expires"))
+    roots = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 400 = 1").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+    return reach.reachable(holdings.live_roots(roots, pins, F.lit(NOW).cast("timestamp_ntz")), graph(spark, sf_dir)).select("node")
+
+
+@query("""WITH o AS (SELECT source || '/' || doc_id AS path, sha256(encode(text)) AS digest FROM documents WHERE doc_id % 17 <> 0),
+    n AS (SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 13 = 0 THEN 'other' ELSE sha256(encode(text)) END AS digest FROM documents WHERE doc_id % 11 <> 0)
+    SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.path = n.path WHERE o.digest IS DISTINCT FROM n.digest""")
+def tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat_ws("/", "source", "doc_id").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    new = rows.where("doc_id % 11 <> 0").withColumn("digest", F.when(F.col("doc_id") % 13 == 0, "other").otherwise(F.col("digest")))
+    return holdings.tree_diff(rows.where("doc_id % 17 <> 0"), new)
+
+
+@query(f"WITH {_LOG}, h AS (SELECT log, max(seq) AS head_seq FROM log GROUP BY log) SELECT log, head_seq, head_seq - coalesce(c - 1, 0) AS lag FROM (SELECT log, head_seq, CASE log WHEN 'click' THEN 5 WHEN 'view' THEN head_seq + 1 WHEN 'error' THEN head_seq - 3 END AS c FROM h)")
+def reader_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = feed.heads(log(spark, sf_dir)).select("log", "head_seq")
+    cursor = F.expr("CASE log WHEN 'click' THEN 5 WHEN 'view' THEN head_seq + 1 WHEN 'error' THEN head_seq - 3 END")
+    return holdings.lag(heads, heads.select("log", cursor.alias("cursor")).where("cursor IS NOT NULL"), "log").select("log", "head_seq", "lag")
+
+
+@query("""WITH e AS (SELECT text, octet_length(encode(text)) AS n, max(doc_id % 3 = 0) AS kept, count(*) AS c FROM documents GROUP BY text)
+    SELECT CAST(sum(n * c) AS BIGINT) AS logical_bytes, CAST(sum(n) AS BIGINT) AS unique_bytes, CAST(sum(n) FILTER (WHERE kept) AS BIGINT) AS retained_bytes, count(*) AS objects FROM e""")
+def storage_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", identity.keyed_digest(KEY, F.col("text").cast("binary")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return holdings.accounting(rows, F.col("doc_id") % 3 == 0)
+
+
+@query("""WITH refs AS (SELECT 'o' || o_orderkey AS node FROM orders WHERE o_custkey % 3 <> 0 AND o_orderkey % 2 = 0), objects AS (SELECT 'o' || o_orderkey AS node, o_orderkey % 31 <> 0 AS ok FROM orders WHERE o_orderkey % 29 <> 0),
+    f AS (SELECT coalesce(o.node, r.node) AS node, CASE WHEN o.node IS NULL THEN 'missing' WHEN NOT o.ok THEN 'corrupt' WHEN r.node IS NULL THEN 'orphan' END AS finding FROM objects o FULL JOIN refs r ON o.node = r.node)
+    SELECT node, finding FROM f WHERE finding IS NOT NULL""")
+def fsck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    edges = orders.where("o_custkey % 3 <> 0 AND o_orderkey % 2 = 0").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.col("node").alias("dst"))
+    reached = reach.reachable(edges.select(F.col("src").alias("node")), edges).where("node LIKE 'o%'")
+    return holdings.fsck(edges, orders.where("o_orderkey % 29 <> 0").select("node", (F.col("o_orderkey") % 31 != 0).alias("ok")), reached)
+
+
+_WRITES = "w AS (SELECT user_id % 4 AS volume, event_id % 64 AS block, event_id AS seq, props AS data FROM events)"
+
+
+@query(f"WITH {_WRITES}, m AS (SELECT max(seq) // 2 AS k FROM w) SELECT volume, block, max_by(data, seq) AS data, max(seq) AS seq FROM w, m WHERE seq <= k GROUP BY volume, block")
+def volume_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    writes = events(spark, sf_dir).select((F.col("user_id") % 4).alias("volume"), (F.col("event_id") % 64).alias("block"), F.col("event_id").alias("seq"), F.col("props").alias("data"))
+    return holdings.blocks_at(writes, F.lit(writes.agg(F.max("seq")).first()[0] // 2))
+
+
+@query(f"""WITH {_COMMITS}, n AS (SELECT *, max(generation) OVER (PARTITION BY ref) AS newest FROM commits)
+    SELECT ref, generation, CASE WHEN generation % 50 = 0 THEN 'hold' WHEN generation > newest - 5 THEN 'last' WHEN ts > TIMESTAMP '{NOW}' - INTERVAL 7 DAY THEN 'recent' ELSE 'expired' END AS rule FROM n""")
+def retention_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return holdings.retained(commits(spark, sf_dir), "ref", F.lit(NOW).cast("timestamp_ntz"), 7, 5, F.col("generation") % 50 == 0).select("ref", "generation", "rule")
+
+
+@query(f"WITH RECURSIVE {_LEASE} SELECT o.writer AS actor, 'ref.' || o.op AS action, o.at_us, w.ref, w.event_id, w.generation FROM walk w JOIN o ON o.ref = w.ref AND o.k = w.k WHERE w.k > 0 AND w.status = 'ok'")
+def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return holdings.audit(folds.lease_machine(lease_ops(spark, sf_dir), _TTL), "writer", "op", "at_us")
+
+
 # Streams
 
 
