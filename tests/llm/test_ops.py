@@ -107,9 +107,12 @@ def test_op10(spark, sf_dir, texts):
 def test_secrets_take_linear_time():
     rng = random.Random(2)
     for text in ("-".join(["ab"] * 60) + "-9", "ab-" * 20_000 + "9", "aB" * 30_000 + "9", "Aa" * 30_000 + "-9", "-" * 60_000 + "a9", "abcdefgh" * 8_000 + "9"):
-        began = time.perf_counter()
-        secrets.scan(text)
-        assert time.perf_counter() - began < 0.01 + len(text) * 2e-5
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            secrets.scan(text)
+            took.append(time.perf_counter() - began)
+        assert min(took) < 0.01 + len(text) * 5e-5
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     for n in (40, 64, 128, 256):
         assert sum(bool(secrets.scan("".join(rng.choices(letters, k=n)))) for _ in range(1000)) >= 990
