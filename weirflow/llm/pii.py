@@ -185,8 +185,7 @@ def with_entities(docs: DataFrame, text_col: str, found: str, pattern: str) -> D
 
 def _stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """128 pseudo-random hex digits of an entity."""
-    seed = F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"))
-    return F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("\x1f+")), 256))
+    return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string")), 512)
 
 
 def _hex(stream: Column, place: Column, size: int = 2) -> Column:
@@ -212,19 +211,19 @@ def _reshape(match: Column, stream: Column, kept: Column) -> Column:
 
 def _name(match: Column, stream: Column, canon: Column, attempt: Column) -> Column:
     gender, words, whole = F.substring(canon, 1, 1), F.split(_words(match), " "), F.split(F.substring(canon, 3, 1000), " ")
-    syllables = F.least(F.lit(10), 5 + F.floor(attempt / LONGER))
+    syllables = F.least(F.lit(10), 5 + F.floor(attempt / LONGER)).cast("int")
     # the place in the full name of the words written
     ahead = F.greatest(F.array_position(whole, F.lower(words[0])).cast("int") - 1, F.lit(0))
     # a last word that is also the first one stands last, if alone
     ahead = F.when(F.size(words) == 1, F.when(F.element_at(whole, -1) == F.lower(words[0]), F.size(whole) - 1).otherwise(ahead)).otherwise(F.lit(0))
 
     def word(w: Column, i: Column) -> Column:
-        pick = lambda table: F.concat(*(F.when(F.lit(k) < syllables, F.element_at(F.array(*map(F.lit, table)), _hex(stream, (i + ahead) * 10 + k, 1) + 1)).otherwise("") for k in range(10)))
-        latin_end = F.when(gender == "m", "n").when(gender == "f", "la").otherwise("r")
-        cyrillic_end = F.when(gender == "m", "н").when(gender == "f", "на").otherwise("р")
-        greek_end = F.when(gender == "m", "ς").when(gender == "f", "να").otherwise("ρ")
-        made = F.when(w.rlike(r"^\p{IsCyrillic}"), F.concat(pick(_CYRILLIC), cyrillic_end)).when(w.rlike(r"^\p{IsGreek}"), F.concat(pick(_GREEK), greek_end))
-        made = F.initcap(made.otherwise(F.concat(pick(_SYLLABLES), latin_end)))
+        cyrillic, greek = w.rlike(r"^\p{IsCyrillic}"), w.rlike(r"^\p{IsGreek}")
+        said = F.split(F.when(cyrillic, " ".join(_CYRILLIC)).when(greek, " ".join(_GREEK)).otherwise(" ".join(_SYLLABLES)), " ")
+        ends = F.split(F.when(cyrillic, "н на р").when(greek, "ς να ρ").otherwise("n la r"), " ")
+        end = F.element_at(ends, F.when(gender == "m", 1).when(gender == "f", 2).otherwise(3))
+        chosen = F.transform(F.sequence(F.lit(0), syllables - 1), lambda k: F.element_at(said, _hex(stream, (i + ahead) * 10 + k, 1) + 1))
+        made = F.initcap(F.concat(F.array_join(chosen, ""), end))
         return F.when(w.endswith("."), F.concat(F.substring(made, 1, 1), F.lit("."))).otherwise(made)
 
     return F.concat(_titles(match), F.array_join(F.transform(words, word), " "))
@@ -232,19 +231,28 @@ def _name(match: Column, stream: Column, canon: Column, attempt: Column) -> Colu
 
 def surrogate(key: str, kind: Column, match: Column, canon: Column, attempt: Column) -> Column:
     """The replacement of a match, in its format; a match that is no entity stays."""
-    stream = _stream(key, kind, canon, attempt)
-    more = F.array_join(F.transform(F.sequence(F.lit(0), attempt - DIGITS), lambda i: (_hex(stream, i + 30) % 10).cast("string")), "")
-    number = F.concat(_reshape(match, stream, F.length(F.regexp_extract(canon, _COUNTRY, 1))), F.when(attempt >= DIGITS, more).otherwise(""))
-    card = _reshape(match, stream, F.lit(1))
-    zero = F.concat(F.substring(_digits(card), F.lit(1), F.length(_digits(card)) - 1), F.lit("0"))
-    check = (10 - _luhn_sum(zero) % 10) % 10
-    card = F.concat(F.substring(card, F.lit(1), F.length(card) - 1), check.cast("string"))
-    octets = F.concat_ws(".", *((_hex(stream, F.lit(i)) % 254 + 1).cast("string") for i in range(4)))
-    at = F.instr(match, "@")
-    domain = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.lower(F.substring(match, at + 1, F.length(match)))), 256), 1, 16)
-    longer = F.substring(stream, F.lit(101), F.least(F.lit(20), F.greatest(F.lit(0), 2 * (attempt - LONGER))))
-    mail = F.concat(_reshape(F.substring(match, F.lit(1), at - 1), stream, F.lit(0)), longer, F.lit("@m"), domain, F.lit(".example.org"))
-    return F.when(kind == "email", mail).when(kind == "ipv4", octets).when(kind == "card", card).when(kind == "name", _name(match, stream, canon, attempt)).when(kind.isin("phone", "ssn"), number).otherwise(match)
+
+    def card(stream: Column) -> Column:
+        def checked(new: Column) -> Column:
+            zero = F.concat(F.regexp_replace(_digits(new), "[0-9]$", ""), F.lit("0"))
+            return F.concat(F.regexp_replace(new, "[0-9]$", ""), ((10 - _luhn_sum(zero) % 10) % 10).cast("string"))
+
+        return _once(_reshape(match, stream, F.lit(1)), checked)
+
+    def number(stream: Column) -> Column:
+        more = F.array_join(F.transform(F.sequence(F.lit(0), attempt - DIGITS), lambda i: (_hex(stream, i + 30) % 10).cast("string")), "")
+        return F.concat(_reshape(match, stream, F.length(F.regexp_extract(canon, _COUNTRY, 1))), F.when(attempt >= DIGITS, more).otherwise(""))
+
+    def mail(stream: Column) -> Column:
+        domain = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.lower(F.substring_index(match, "@", -1))), 256), 1, 16)
+        longer = F.substring(stream, F.lit(101), F.least(F.lit(20), F.greatest(F.lit(0), 2 * (attempt - LONGER))))
+        return F.concat(_reshape(F.substring_index(match, "@", 1), stream, F.lit(0)), longer, F.lit("@m"), domain, F.lit(".example.org"))
+
+    def made(stream: Column) -> Column:
+        octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_hex(stream, i) % 254 + 1).cast("string")), ".")
+        return F.when(kind == "email", mail(stream)).when(kind == "ipv4", octets).when(kind == "card", card(stream)).when(kind == "name", _name(match, stream, canon, attempt)).when(kind.isin("phone", "ssn"), number(stream)).otherwise(match)
+
+    return _once(_stream(key, kind, canon, attempt), made)
 
 
 def found_entities(rows: DataFrame, found: str) -> DataFrame:
@@ -262,9 +270,9 @@ def attempts(found: DataFrame, key: str) -> DataFrame:
     held = stage(found, "entities")
     named = held.withColumn("attempt", F.lit(0))
     for _ in range(ATTEMPTS):
-        made = canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("match"), F.col("canon"), F.col("attempt")))
         # a name's gender may be told by another title than the form's own
-        made = named.withColumn("made", F.when(F.col("kind") == "name", F.concat(F.substring("canon", 1, 1), F.substring(made, 2, 1000))).otherwise(made))
+        its = lambda new: F.when(F.col("kind") == "name", F.concat(F.substring("canon", 1, 1), F.lit(" "), F.lower(_words(new)))).otherwise(canonical(F.col("kind"), new))
+        made = named.withColumn("made", _once(surrogate(key, F.col("kind"), F.col("match"), F.col("canon"), F.col("attempt")), its))
         made = made.withColumn("place", F.row_number().over(Window.partitionBy("kind", "made").orderBy("attempt", "canon")))
         real = named.select("kind", F.col("canon").alias("made"), F.lit(True).alias("real"))
         checked = made.join(real, ["kind", "made"], "left").withColumn("clash", (F.col("place") > 1) | F.col("real").isNotNull())
@@ -301,7 +309,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", entities: bo
     kept = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in own))
     rows = stage(with_entities(kept, text_col, found, pattern).withColumn(rid, F.monotonically_increasing_id()), "texts")
     tried = attempts(found_entities(rows, found), key)
-    again = tried.where("attempt > 0")
+    again = tried.where("attempt > 0").select("kind", "canon", "attempt")
     text, its = F.col(f"`{text_col}`"), F.col(found)
     count = F.coalesce(F.size(F.filter(its, lambda e: e["kind"].isNotNull())), F.lit(0)).alias("n_entities")
     last = [its.alias("entities")] if entities else []
